@@ -30,7 +30,7 @@ from .common import SPACES, blocks, materialize, parallelism
 
 #: Bytes of text that a task splits at a time.
 BLOCK_BYTES = 24 << 20
-#: Width of the digit by which groups are dealt out to tasks, in the first round and after.
+#: Width of the digit by which groups are dealt out to tasks in the first round; each later round takes eight times the width.
 DIGIT = 32
 #: Distinct bytes of one group that a task holds before it leaves the group to the next round.
 GROUP_BYTES = 64 << 20
@@ -134,7 +134,7 @@ def _merge():
                 group.add((rid, n, best_rid, best_chars, best_id), norm)
                 if group.size > GROUP_BYTES or len(group.rows) >= 1 << 18:
                     group.reduce()
-                    if group.deep or group.size > GROUP_BYTES // 2:
+                    if group.deep or group.size > GROUP_BYTES // 2 and len(group.texts) > 1:
                         group.deep = True
                         out += done(group)
                         group = _Group(group.key, deep=True)
@@ -159,16 +159,16 @@ def groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     local = materialize(spark, named.mapInArrow(_local, _LOCAL), "exact")
     parts = parallelism(spark)
     todo = local.where("n is not null").select("rid", "n", "best_rid", "best_chars", "best_id", F.lit(0).cast("long").alias("grp"), "norm")
-    found, at = [], 0
+    found, at, width = [], 0, DIGIT
     while True:
         # The rows of one group agree on all bytes before ``at``; the digits from there on tell its parts apart.
-        dealt = todo.withColumn("digit", F.substring("norm", at + 1, DIGIT)).repartition(parts, "grp", "digit").sortWithinPartitions("grp", "digit")
+        dealt = todo.withColumn("digit", F.substring("norm", at + 1, width)).repartition(parts, "grp", "digit").sortWithinPartitions("grp", "digit")
         merged = materialize(spark, dealt.mapInArrow(_merge(), _MERGED), "exact-merged")
         found.append(merged.select("rid", "root", "deep", "n", "best_rid", "best_chars", "best_id"))
         left = merged.where("deep")
         if left.isEmpty():
             break
-        at += DIGIT
+        at, width = at + width, 8 * width
         todo = left.select("rid", "n", "best_rid", "best_chars", "best_id", F.xxhash64(F.substring("norm", 1, at)).alias("grp"), "norm")
     links = found[0].drop("deep") if len(found) == 1 else _deepest(spark, found)
     first = F.struct((-F.col("best_chars")).alias("c"), F.coalesce("best_id", F.lit(NO_ID)).alias("i"), F.col("best_rid").alias("r"), F.col("best_id").alias("id"))

@@ -70,3 +70,36 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, most
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts as UTF-8; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def pack(texts: list[bytes], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of the texts, one after the other with ``gap`` zero bytes after each."""
+    ends = np.cumsum(np.fromiter((len(t) + gap for t in texts), np.int64, len(texts))) - gap
+    buf = np.frombuffer((b"\0" * gap).join([*texts, b""]) if gap else b"".join(texts), np.uint8)
+    starts = np.concatenate([[0], ends[:-1] + gap]) if len(texts) else ends
+    return buf, starts, ends
+
+
+def spans_sum(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of values[start:end], empty spans included."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    return total[ends] - total[starts]
+
+
+def lookup(chars: bytes) -> np.ndarray:
+    """A table over byte values: 1 for those in ``chars``."""
+    t = np.zeros(256, np.uint8)
+    t[list(chars)] = 1
+    return t
+
+
+IS_SPACE = lookup(SPACES)
+#: Bytes that begin a code point.
+IS_POINT = np.array([b & 0xC0 != 0x80 for b in range(256)], np.uint8)
+
+
+def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words in packed texts; the gaps of zeros separate words too."""
+    out = IS_SPACE[buf] | (buf == 0) if len(buf) else np.zeros(0, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[1], out, [1]]).astype(np.int8)))
+    return edge[::2], edge[1::2]

@@ -7,7 +7,7 @@ ranks. Where a merge makes a pair of a lower rank, the rest of the list waits un
 sees its merges in the order that it would see alone.
 
 The text goes through what the vocabulary's file states: the strings of special tokens are cut out of the raw text, the
-rest is composed (NFC), lower-cased letter by letter, and split into contractions, runs of letters, single digits and runs of
+rest is composed (NFC), lower-cased, and split into contractions, runs of letters, single digits and runs of
 other characters; white space only separates. A word's bytes are the first symbols, its last one carries the mark of a
 word's end. Decoding joins the tokens' strings by spaces, as the file names no decoder.
 
@@ -28,10 +28,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import blocks
 
 BLOCK_BYTES = 1 << 20
+#: From this code point on, versions of Unicode differ in what is a letter, so the library's own normaliser and splitter
+#: cut texts that go so far into words; the merges are made here all the same.
+UNSURE = "\u0370"
 #: Words that a worker remembers between blocks; beyond, it forgets all of them.
 REMEMBERED = 300_000
 
@@ -60,6 +64,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         end = model["end_of_word_suffix"]
         symbols = byte_symbols()
+        self.byte_of = {c: b for b, c in enumerate(symbols)}
+        self.library = Tokenizer.from_file(path)
         self.inner, self.last = [ids[c] for c in symbols], [ids[c + end] for c in symbols]
         self.merges: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -75,8 +81,10 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         if not text.isascii():
-            # Letter by letter: no rule for a sigma at a word's end.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if max(text) >= UNSURE:
+                split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in split]
+            text = unicodedata.normalize("NFC", text)
         return self.pattern.findall(text.lower())
 
     def pieces(self, text: str) -> list[str]:

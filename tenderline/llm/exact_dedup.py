@@ -30,8 +30,9 @@ from .common import SPACES, blocks, materialize, parallelism
 
 #: Bytes of text that a task splits at a time.
 BLOCK_BYTES = 24 << 20
-#: Width of the digit by which groups are dealt out to tasks in the first round; each later round takes eight times the width.
-DIGIT = 32
+#: Width of the digit by which groups are dealt out to tasks in the first round; each later round takes eight times the
+#: width. It is wide so that texts which only begin alike go to different tasks.
+DIGIT = 4096
 #: Distinct bytes of one group that a task holds before it leaves the group to the next round.
 GROUP_BYTES = 64 << 20
 NO_ID = (1 << 63) - 1
@@ -111,7 +112,7 @@ class _Group:
         self.roots, self.texts, self.size = roots, texts, sum(map(len, texts))
 
 
-def _merge():
+def _merge(at: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()])], names=_MERGED_NAMES)
@@ -125,8 +126,9 @@ def _merge():
 
         group, out, held = None, [], 0
         for b in blocks(batches, "norm", BLOCK_BYTES):
-            cols = [b.column(c).to_pylist() for c in ("rid", "n", "best_rid", "best_chars", "best_id", "grp", "digit", "norm")]
-            for rid, n, best_rid, best_chars, best_id, grp, digit, norm in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("rid", "n", "best_rid", "best_chars", "best_id", "grp", "norm")]
+            for rid, n, best_rid, best_chars, best_id, grp, norm in zip(*cols, strict=True):
+                digit = norm[at : at + width]
                 if group is None or group.key != (grp, digit):
                     if group is not None:
                         out += done(group)
@@ -162,8 +164,9 @@ def groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     found, at, width = [], 0, DIGIT
     while True:
         # The rows of one group agree on all bytes before ``at``; the digits from there on tell its parts apart.
-        dealt = todo.withColumn("digit", F.substring("norm", at + 1, width)).repartition(parts, "grp", "digit").sortWithinPartitions("grp", "digit")
-        merged = materialize(spark, dealt.mapInArrow(_merge(), _MERGED), "exact-merged")
+        digit = F.substring("norm", at + 1, width)  # not a column, so it is not shuffled beside the text
+        dealt = todo.repartition(parts, "grp", digit).sortWithinPartitions("grp", digit)
+        merged = materialize(spark, dealt.mapInArrow(_merge(at, width), _MERGED), "exact-merged")
         found.append(merged.select("rid", "root", "deep", "n", "best_rid", "best_chars", "best_id"))
         left = merged.where("deep")
         if left.isEmpty():

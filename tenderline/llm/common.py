@@ -98,8 +98,46 @@ IS_SPACE = lookup(SPACES)
 IS_POINT = np.array([b & 0xC0 != 0x80 for b in range(256)], np.uint8)
 
 
-def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the words in packed texts; the gaps of zeros separate words too."""
-    out = IS_SPACE[buf] | (buf == 0) if len(buf) else np.zeros(0, np.uint8)
+def word_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of packed texts, where zero bytes inside a text are word characters."""
+    out = IS_SPACE[buf]
+    gap = np.zeros(len(buf) + 1, np.int8)
+    np.add.at(gap, ends, 1)
+    np.add.at(gap, np.append(starts[1:], len(buf)), -1)
+    out = out | (np.cumsum(gap[:-1]) > 0)
     edge = np.flatnonzero(np.diff(np.concatenate([[1], out, [1]]).astype(np.int8)))
     return edge[::2], edge[1::2]
+
+
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _inverse(base: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), -1, 1 << 64))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(buf: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    """64 bits for each word, equal for equal words in any text."""
+    p = _powers(_P, len(buf) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], dtype=np.uint64)])
+    return mix((sums[w1] - sums[w0]) * _powers(_inverse(_P), len(buf) + 1)[w0])
+
+
+def run_hashes(word: np.ndarray, at: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """64 bits for the ``n`` words from each position in ``at`` on."""
+    q = _powers(_Q, len(word) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * q[:-1], dtype=np.uint64)])
+    return mix((sums[at + n] - sums[at]) * _powers(_inverse(_Q), len(word) + 1)[at])

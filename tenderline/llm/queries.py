@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality_rules, url_filter
+from . import bpe, exact_dedup, jaccard_join, mixing, quality_rules, url_filter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,7 +35,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op5_mixing, op8_quality_rules, op9_url_filter)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op5_mixing, op6_jaccard_join, op8_quality_rules, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

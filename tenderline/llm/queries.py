@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard_join, mixing, quality_rules, url_filter
+from . import bpe, exact_dedup, jaccard_join, language_crf, mixing, quality_crf, quality_rules, url_filter
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.classify(docs, quality_crf.learn(spark, docs, table(spark, sf_dir, "labels")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(spark, table(spark, sf_dir, "documents"))
 
@@ -18,6 +23,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_crf.identify(spark, docs, language_crf.learn(spark, docs))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
@@ -35,7 +45,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op5_mixing, op6_jaccard_join, op8_quality_rules, op9_url_filter)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_bpe, op4_language_id, op5_mixing, op6_jaccard_join, op8_quality_rules, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard_join, language_crf, mixing, quality_crf, quality_rules, url_filter
+from . import attention_lm, bpe, exact_dedup, jaccard_join, language_crf, mixing, quality_crf, quality_rules, url_filter
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return attention_lm.scored(spark, docs, *attention_lm.learn(spark, docs))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +50,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_bpe, op4_language_id, op5_mixing, op6_jaccard_join, op8_quality_rules, op9_url_filter)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_bpe, op4_language_id, op5_mixing, op6_jaccard_join, op7_attention_lm, op8_quality_rules, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

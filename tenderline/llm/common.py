@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -31,13 +32,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RECORDING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that ``materialize`` writes meanwhile."""
+    _RECORDING.append([])
+    try:
+        yield _RECORDING[-1]
+    finally:
+        _RECORDING.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written intermediate results that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for paths in _RECORDING:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Numbers of rows up to which a list of them is broadcast (8 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ``dropped``. A short list is broadcast, so the rows are not shuffled; a longer one is joined by a shuffle."""
+    return rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, key, "left_anti")
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text modulo ``parts``; null ids get null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)

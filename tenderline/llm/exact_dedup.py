@@ -11,9 +11,8 @@ one member or its texts have ended; two texts are equal when they end in the sam
 3. Representatives get their group's keeper; rows get it through their representative.
 
 Defined results: null text is empty; all texts without a visible character form one group; a null id is greater than any
-other id; of rows that share id and text the group counts each, and all rows whose id is the keeper's and whose length
-is the keeper's are kept only once (the others are marked dropped); an empty table gives an empty result. Other columns
-are not read.
+other id; of rows that share id and text the group counts each, and one of them stays (the others are marked dropped); an empty table
+gives an empty result. Other columns are carried by position, so clashing names are kept.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, blocks, materialize, parallelism
+from .common import SPACES, blocks, materialize, parallelism, without
 
 #: Bytes of text that a task splits at a time.
 BLOCK_BYTES = 24 << 20
@@ -58,7 +57,7 @@ def radix_groups(texts: list[bytes], start: int = 0) -> list[list[int]]:
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> a row each, with its representative's number; the representative carries the text and the best row."""
+    """doc_id, text and carried columns -> a row each, with its representative's number; the representative carries the best row's."""
     base, n = TaskContext.get().partitionId() << 40, 0
     for b in blocks(batches, "text", BLOCK_BYTES):
         ids, originals = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
@@ -76,12 +75,12 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([base + n + r for r in range(len(ids))], pa.int64()), pa.array([base + n + x for x in rep], pa.int64()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()),
             pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([count[r] if own[r] else None for r in range(len(ids))], pa.int64()),
             pa.array([base + n + best[r] if own[r] else None for r in range(len(ids))], pa.int64()), pa.array([lengths[best[r]] if own[r] else None for r in range(len(ids))], pa.int64()),
-            pa.array([ids[best[r]] if own[r] else None for r in range(len(ids))], pa.int64()), pa.array([texts[r] if own[r] else None for r in range(len(ids))], pa.binary()),
-        ], names=_LOCAL_NAMES)
+            pa.array([ids[best[r]] if own[r] else None for r in range(len(ids))], pa.int64()), *b.columns[1:],
+        ], names=[*_LOCAL_NAMES, *b.schema.names[1:]])
         n += len(ids)
 
 
-_LOCAL = "rid long, rep long, doc_id long, chars long, sha string, n long, best_rid long, best_chars long, best_id long, norm binary"
+_LOCAL = "rid long, rep long, doc_id long, chars long, sha string, n long, best_rid long, best_chars long, best_id long"
 _LOCAL_NAMES = [x.split()[0] for x in _LOCAL.split(", ")]
 _MERGED = "rid long, root long, deep boolean, n long, best_rid long, best_chars long, best_id long, norm binary"
 _MERGED_NAMES = [x.split()[0] for x in _MERGED.split(", ")]
@@ -155,12 +154,23 @@ def _merge(at: int, width: int):
     return run
 
 
+def locally(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The written result of the first step: _LOCAL, text and _0, _1, ... (the columns in ``carry``)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry or [])))
+    schema = ", ".join([_LOCAL, *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "doc_id")])
+    return materialize(spark, rows.mapInArrow(_local, schema), "exact")
+
+
 def groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and chars, one row for each row of ``docs``."""
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    local = materialize(spark, named.mapInArrow(_local, _LOCAL), "exact")
+    rows = resolved(spark, locally(spark, docs, doc_id, text))
+    return rows.select("doc_id", F.col("id").alias("keep_id"), "group_size", (F.col("rid") == F.col("r")).alias("kept"), F.col("sha").alias("text_sha256"), "chars")
+
+
+def resolved(spark: SparkSession, local: DataFrame) -> DataFrame:
+    """rid, doc_id, chars, sha and the group's id and r (the keeper's id and number) and group_size."""
     parts = parallelism(spark)
-    todo = local.where("n is not null").select("rid", "n", "best_rid", "best_chars", "best_id", F.lit(0).cast("long").alias("grp"), "norm")
+    todo = local.where("n is not null").select("rid", "n", "best_rid", "best_chars", "best_id", F.lit(0).cast("long").alias("grp"), F.translate(F.coalesce("text", F.lit("")), SPACES.decode(), "").cast("binary").alias("norm"))
     found, at, width = [], 0, DIGIT
     while True:
         # The rows of one group agree on all bytes before ``at``; the digits from there on tell its parts apart.
@@ -177,8 +187,7 @@ def groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     first = F.struct((-F.col("best_chars")).alias("c"), F.coalesce("best_id", F.lit(NO_ID)).alias("i"), F.col("best_rid").alias("r"), F.col("best_id").alias("id"))
     keepers = links.groupBy("root").agg(F.min(first).alias("k"), F.sum("n").alias("group_size"))
     reps = links.select(F.col("rid").alias("rep"), "root").join(keepers, "root").select("rep", "k.id", "k.r", "group_size")
-    rows = local.select("rid", "rep", "doc_id", "chars", "sha").join(reps, "rep")
-    return rows.select("doc_id", F.col("id").alias("keep_id"), "group_size", (F.col("rid") == F.col("r")).alias("kept"), F.col("sha").alias("text_sha256"), "chars")
+    return local.select("rid", "rep", "doc_id", "chars", "sha").join(reps, "rep")
 
 
 def _deepest(spark: SparkSession, found: list[DataFrame]) -> DataFrame:
@@ -191,13 +200,16 @@ def _deepest(spark: SparkSession, found: list[DataFrame]) -> DataFrame:
 
 
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group, with all columns: the longest original text, then the smallest id.
-
-    Rows that share id and text length with the keeper are told apart by nothing that the table holds, so one of them stays.
-    """
-    kept = groups(spark, docs).where("kept").select(F.struct(F.col("doc_id").alias("a"), F.col("chars").alias("b"), F.col("text_sha256").alias("c")).alias("_k"))
-    own = F.struct(F.col("doc_id").cast("long").alias("a"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("b"), F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACES.decode(), ""), 256).alias("c"))
-    return docs.withColumn("_k", own).join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    """One document of each group, with all columns: the longest original text, then the smallest id, then any one of repeated rows."""
+    names = docs.columns
+    twice = [n for n in names if names.count(n) > 1]
+    # Id and text are carried once if their types are the operator's.
+    same = [n for n, kind in (("text", "string"), ("doc_id", "bigint")) if dict(docs.dtypes)[n] == kind and n not in twice]
+    carry = [n for n in names if n not in same]
+    local = locally(spark, docs, carry=carry)
+    dropped = materialize(spark, resolved(spark, local).where("rid != r").select("rid"), "exact-dropped")
+    own = iter(range(len(carry)))
+    return without(local, dropped, "rid").select(*(F.col(n if n in same else f"_{next(own)}").alias(n) for n in names))
 
 
 SQL = r"""

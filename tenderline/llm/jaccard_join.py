@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, mix, pack, parallelism, raw_texts, run_hashes, word_hashes, word_spans
+from .common import BROADCAST_ROWS, blocks, materialize, mix, pack, parallelism, raw_texts, run_hashes, without, word_hashes, word_spans
 from .components import components
 
 BLOCK_BYTES = 1 << 20
@@ -44,8 +44,6 @@ BLOCK_BYTES = 1 << 20
 CLUSTER = 2_000_000
 #: Weight of a binary probe against a merged entry in the choice of L.
 MU = 0.01
-#: Clustered rows up to which their numbers are broadcast (16 bytes each); more go through a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,27 +251,36 @@ def _searched(k: int, num: int, den: int):
     return run
 
 
-def join(spark: SparkSession, docs: DataFrame, carry: list[str], k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row: _0, _1, ... (the columns in ``carry``), n_shingles, component_id, kept.
-
-    component_id is the least id of the component, kept marks one row of it: with that id, or the first such.
-    """
+def number(spark: SparkSession, docs: DataFrame, carry: list[str], k: int, text: str, doc_id: str) -> DataFrame:
+    """A written table: _rid, _rep (the first row of the task with an equal set), _n (its size), _id, _text, _0, _1, ... (the columns in ``carry``)."""
     own = [f"_{i}" for i in range(len(carry))]
     rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(doc_id).cast("long").alias("_id"), *(F.col(c).alias(o) for c, o in zip(carry, own, strict=True)))
     schema = "_rid long, _rep long, _n long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    numbered = materialize(spark, rows.mapInArrow(_numbered(k, rows.columns), schema), "shingled")
+    return materialize(spark, rows.mapInArrow(_numbered(k, rows.columns), schema), "shingled")
+
+
+def grouped(spark: SparkSession, numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """_rid, component_id, kept for each row of the written table: the component's least id, and one row of those with that id."""
     parts = parallelism(spark)
     keyed = numbered.where("_rep = _rid and _n > 0").select("_rid", "_text").mapInArrow(_keyed(k, num, den), "key long, rid long")
     chains = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_chained, "a long, b long")
     clusters = components(spark, chains)
     links = _links(spark, numbered, clusters, k, num, den, parts)
     comps = components(spark, links)
-    named = numbered.drop("_text") if "_text" not in own else numbered
-    at = named.join(comps.select(F.col("v").alias("_rep"), "comp"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))
+    at = numbered.select("_rid", "_rep", "_id").join(comps.select(F.col("v").alias("_rep"), "comp"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))
     no_id = F.lit((1 << 63) - 1)
     least = at.groupBy("comp").agg(F.min(F.struct(F.coalesce("_id", no_id).alias("i"), F.col("_rid").alias("r"), F.col("_id").alias("id"))).alias("k"))
-    out = at.join(least, "comp")
-    return out.select(*own, F.col("_n").alias("n_shingles"), F.col("k.id").alias("component_id"), (F.col("_rid") == F.col("k.r")).alias("kept"))
+    return at.join(least, "comp").select("_rid", F.col("k.id").alias("component_id"), (F.col("_rid") == F.col("k.r")).alias("kept"))
+
+
+def join(spark: SparkSession, docs: DataFrame, carry: list[str], k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row for each row: _0, _1, ... (the columns in ``carry``), n_shingles, component_id, kept.
+
+    component_id is the least id of the component, kept marks one row of it: with that id, or the first such.
+    """
+    numbered = number(spark, docs, carry, k, text, doc_id)
+    out = numbered.drop("_text", "_id", "_rep").join(grouped(spark, numbered, k, num, den), "_rid")
+    return out.select(*(f"_{i}" for i in range(len(carry))), F.col("_n").alias("n_shingles"), "component_id", "kept")
 
 
 def _links(spark: SparkSession, numbered: DataFrame, clusters: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
@@ -298,5 +305,11 @@ def op(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each component, with all columns."""
     names = docs.columns
-    out = join(spark, docs, names, k, num, den).where("kept")
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
+    # The operator's own columns stand for id and text; they are carried once if their types are the operator's.
+    twice = [n for n in names if names.count(n) > 1]
+    same = {n: o for n, o, kind in (("text", "_text", "string"), ("doc_id", "_id", "bigint")) if dict(docs.dtypes)[n] == kind and n not in twice}
+    carry = [n for n in names if n not in same]
+    numbered = number(spark, docs, carry, k, "text", "doc_id")
+    dropped = materialize(spark, grouped(spark, numbered, k, num, den).where("not kept").select("_rid"), "near-dropped")
+    own = iter(range(len(carry)))
+    return without(numbered, dropped, "_rid").select(*(F.col(same[n] if n in same else f"_{next(own)}").alias(n) for n in names))

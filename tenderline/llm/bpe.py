@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blocks
+from .common import blocks, col
 
 BLOCK_BYTES = 1 << 20
 #: From this code point on, versions of Unicode differ in what is a letter, so the library's own normaliser and splitter
@@ -208,7 +208,7 @@ def _carried(df: DataFrame, names: list[str], also: str) -> tuple[list[str], str
 def encode(docs: DataFrame, carry: list[str], text: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
     """The columns in ``carry``, ids (array of int) and, if asked for, decoded: what ``decode`` makes of the ids."""
     own, schema = _carried(docs, carry, "ids array<int>" + ", decoded string" * decoded)
-    rows = docs.select(*(F.col(c).alias(o) for c, o in zip(carry, own, strict=True)), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(*(col(c).alias(o) for c, o in zip(carry, own, strict=True)), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, carry: list[str], text: str = "text", path: str | No
 def decode(rows: DataFrame, carry: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:
     """The columns in ``carry`` and decoded: the tokens' strings joined by spaces; null ids are no ids."""
     own, schema = _carried(rows, carry, "decoded string")
-    some = rows.select(*(F.col(c).alias(o) for c, o in zip(carry, own, strict=True)), F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("_ids"))
+    some = rows.select(*(col(c).alias(o) for c, o in zip(carry, own, strict=True)), F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)

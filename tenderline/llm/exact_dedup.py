@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, blocks, materialize, parallelism, without
+from .common import SPACES, blocks, col, materialize, parallelism, without
 
 #: Bytes of text that a task splits at a time.
 BLOCK_BYTES = 24 << 20
@@ -156,7 +156,7 @@ def _merge(at: int, width: int):
 
 def locally(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The written result of the first step: _LOCAL, text and _0, _1, ... (the columns in ``carry``)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry or [])))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(col(c).alias(f"_{k}") for k, c in enumerate(carry or [])))
     schema = ", ".join([_LOCAL, *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "doc_id")])
     return materialize(spark, rows.mapInArrow(_local, schema), "exact")
 
@@ -204,7 +204,7 @@ def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
     names = docs.columns
     twice = [n for n in names if names.count(n) > 1]
     # Id and text are carried once if their types are the operator's.
-    same = [n for n, kind in (("text", "string"), ("doc_id", "bigint")) if dict(docs.dtypes)[n] == kind and n not in twice]
+    same = [n for n, kind in (("text", "string"), ("doc_id", "bigint")) if dict(docs.dtypes).get(n) == kind and n not in twice]
     carry = [n for n in names if n not in same]
     local = locally(spark, docs, carry=carry)
     dropped = materialize(spark, resolved(spark, local).where("rid != r").select("rid"), "exact-dropped")

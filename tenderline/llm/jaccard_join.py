@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blocks, materialize, mix, pack, parallelism, raw_texts, run_hashes, without, word_hashes, word_spans
+from .common import BROADCAST_ROWS, blocks, col, materialize, mix, pack, parallelism, raw_texts, run_hashes, without, word_hashes, word_spans
 from .components import components
 
 BLOCK_BYTES = 1 << 20
@@ -254,7 +254,7 @@ def _searched(k: int, num: int, den: int):
 def number(spark: SparkSession, docs: DataFrame, carry: list[str], k: int, text: str, doc_id: str) -> DataFrame:
     """A written table: _rid, _rep (the first row of the task with an equal set), _n (its size), _id, _text, _0, _1, ... (the columns in ``carry``)."""
     own = [f"_{i}" for i in range(len(carry))]
-    rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(doc_id).cast("long").alias("_id"), *(F.col(c).alias(o) for c, o in zip(carry, own, strict=True)))
+    rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(doc_id).cast("long").alias("_id"), *(col(c).alias(o) for c, o in zip(carry, own, strict=True)))
     schema = "_rid long, _rep long, _n long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return materialize(spark, rows.mapInArrow(_numbered(k, rows.columns), schema), "shingled")
 
@@ -307,7 +307,7 @@ def keep(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: i
     names = docs.columns
     # The operator's own columns stand for id and text; they are carried once if their types are the operator's.
     twice = [n for n in names if names.count(n) > 1]
-    same = {n: o for n, o, kind in (("text", "_text", "string"), ("doc_id", "_id", "bigint")) if dict(docs.dtypes)[n] == kind and n not in twice}
+    same = {n: o for n, o, kind in (("text", "_text", "string"), ("doc_id", "_id", "bigint")) if dict(docs.dtypes).get(n) == kind and n not in twice}
     carry = [n for n in names if n not in same]
     numbered = number(spark, docs, carry, k, "text", "doc_id")
     dropped = materialize(spark, grouped(spark, numbered, k, num, den).where("not kept").select("_rid"), "near-dropped")

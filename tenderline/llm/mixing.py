@@ -98,11 +98,12 @@ def take(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mixed documents with all their columns: each row as often as the mix takes it."""
     _, limits = plan(spark, docs)
     names = docs.columns
-    limits = limits.select(F.col("skey").alias("_skey"), F.col("copies").alias("_copies"), F.col("threshold").alias("_threshold"))
-    out = docs.withColumn("_skey", _key("source")).join(limits, "_skey")
-    n = F.col("_copies") + F.when(hash_column("doc_id") < F.col("_threshold"), 1).otherwise(0)
-    out = out.withColumn("_n", F.least(n, F.lit(MOST_TIMES)).cast("int")).where("_n > 0")
-    return out.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("_n"))).alias("_")).drop("_")
+    own = {n: f"_{k}" for k, n in enumerate(names)}
+    limits = limits.select("skey", "copies", "threshold")
+    out = docs.toDF(*own.values()).withColumn("skey", _key(own["source"])).join(limits, "skey")
+    n = F.col("copies") + F.when(hash_column(own["doc_id"]) < F.col("threshold"), 1).otherwise(0)
+    out = out.withColumn("n", F.least(n, F.lit(MOST_TIMES)).cast("int")).where("n > 0")
+    return out.select(*own.values(), F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("one")).drop("one").toDF(*names)
 
 
 SQL = r"""

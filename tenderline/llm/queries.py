@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, bpe, exact_dedup, jaccard_join, language_crf, mixing, quality_crf, quality_rules, url_filter
+from . import attention_lm, bpe, exact_dedup, jaccard_join, language_crf, mixing, quality_crf, quality_rules, suffix_dedup, url_filter
 from .common import table
 
 
@@ -49,8 +49,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_bpe, op4_language_id, op5_mixing, op6_jaccard_join, op7_attention_lm, op8_quality_rules, op9_url_filter)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_bpe, op4_language_id, op5_mixing, op6_jaccard_join, op7_attention_lm, op8_quality_rules, op9_url_filter, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

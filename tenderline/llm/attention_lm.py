@@ -24,10 +24,11 @@ are not read.
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ BLOCK_BYTES = 1 << 20
 #: Words whose counts are broadcast, at most (about 30 bytes each); and a task's words before it hands on their counts.
 TOP_WORDS, TASK_WORDS = 200_000, 600_000
 #: Words whose ids a worker remembers; beyond, it forgets all of them.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 VOCABULARY = 50_257
 END, BEGIN = 50_256, -1
 
@@ -53,7 +54,7 @@ WIDTH, HIDDEN = 32, 32
 WINDOW, CONTEXT = 32, 8
 #: Learning rows of the start, at most; its steps; windows a step; the share of rows (1 in so many) that tasks train on.
 SAMPLE, STEPS, BATCH, RATE = 2000, 4000, 64, 1e-2
-SHARE, TASK_RATE = 32, 1e-3
+SHARE, TASK_RATE = 128, 1e-3
 FIXED = 1 << 20
 
 
@@ -87,30 +88,80 @@ def begins_word(path: str | None = None) -> np.ndarray:
     return out
 
 
-class Ids:
-    """Subword ids of words; a word's ids do not depend on its neighbours, so they are remembered."""
-
-    def __init__(self, path: str | None = None):
-        self.enc, self.known = encoder(path), {}
+class Lexicon:
+    """Numbers of words and their subword ids. A word's ids do not depend on its neighbours, so they are made once.
+
+    The words it starts with keep their numbers; the others are forgotten when there are ``REMEMBERED`` of them.
+    """
+
+    def __init__(self, path: str | None, first: list[bytes] = ()):
+        self.enc, self.starts = encoder(path), begins_word(path)
+        self.first = len(first)
+        self.number: dict[bytes, int] = {}
+        self.names: list[bytes] = []
+        self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.add(list(first))
+
+    def add(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        # The ids that begin with a space part the words again.
+        ids = np.asarray(self.enc.encode_ordinary((b" " + b" ".join(words)).decode()), np.int32)
+        at = np.flatnonzero(self.starts[ids])
+        self.number.update(zip(words, range(len(self.names), len(self.names) + len(words)), strict=True))
+        self.names += words
+        self.begin = np.concatenate([self.begin[:-1], at + len(self.ids), [len(self.ids) + len(ids)]])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def forget(self) -> None:
+        for w in self.names[self.first :]:
+            del self.number[w]
+        del self.names[self.first :]
+        self.begin = self.begin[: self.first + 1]
+        self.ids = self.ids[: self.begin[-1]]
+
+    def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all words, words of each text)."""
+        flat = list(chain.from_iterable(texts))
+        found = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(flat[k] for k in missing))
+            if len(self.names) - self.first + len(new) > REMEMBERED:
+                self.forget()
+                return self._fresh(flat), np.fromiter(map(len, texts), np.int64, len(texts))
+            self.add(new)
+            found[missing] = [self.number[flat[k]] for k in missing]
+        return found, np.fromiter(map(len, texts), np.int64, len(texts))
+
+    def _fresh(self, flat: list[bytes]) -> np.ndarray:
+        self.add([w for w in dict.fromkeys(flat) if w not in self.number])
+        return np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+
+    def spelled(self, numbers: np.ndarray, per_text: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text's words and one end."""
+        size = np.diff(self.begin)[numbers]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ends = total[np.cumsum(per_text)]
+        text = np.repeat(np.arange(len(per_text)), np.diff(np.concatenate([[0], ends])))
+        out = np.full(total[-1] + len(per_text), END, np.int32)
+        at = np.arange(total[-1])
+        out[at + text] = self.ids[np.repeat(self.begin[numbers] - total[:-1], size) + at]
+        return np.split(out, (ends + np.arange(1, len(per_text) + 1))[:-1])
 
     def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The ids of each text's words and one end."""
-        new = list(set().union(*texts).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*texts))
-        if new:
-            found = self.enc.encode_ordinary_batch([" " + w.decode() for w in new], num_threads=1)
-            flat = np.fromiter((i for x in found for i in x), np.int32).tobytes()
-            at = 0
-            for w, x in zip(new, found, strict=True):
-                self.known[w] = flat[at : at + 4 * len(x)]
-                at += 4 * len(x)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join([*map(get, t), _END]), np.int32) for t in texts]
+        return self.spelled(*self.numbers(texts))
 
 
-_END = np.int32(END).tobytes()
+_LEXICONS: dict = {}
+
+
+def lexicon(path: str | None, first: list[bytes], name) -> Lexicon:
+    """The worker's lexicon, kept between tasks."""
+    if name not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[name] = Lexicon(path, first)
+    return _LEXICONS[name]
 
 
 class Coding:
@@ -365,12 +416,12 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _id_counts(path):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = encoder(path), np.zeros(VOCABULARY, np.int64)
+        enc, starts, total = encoder(path), begins_word(path), np.zeros(VOCABULARY, np.int64)
         for b in batches:
             words, n = b.column("word").to_pylist(), b.column("n").to_pylist()
-            for ids, k in zip(enc.encode_ordinary_batch([" " + w.decode() for w in words], num_threads=1), n, strict=True):
-                for i in ids:
-                    total[i] += k
+            ids = np.asarray(enc.encode_ordinary((b" " + b" ".join(words)).decode()), np.int64)
+            each = np.diff(np.append(np.flatnonzero(starts[ids]), len(ids)))
+            total += np.bincount(ids, np.repeat(n, each), VOCABULARY).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -378,11 +429,12 @@ def _id_counts(path):
 
 
 class Model:
-    """What scoring needs: coding, weights, N, V and the base's log10 of the frequent words."""
+    """What scoring needs: coding, weights, N, V and the frequent words with the base's log10."""
 
     def __init__(self, coding: Coding, weights: dict, total: int, types: int, ends: int, top: dict[bytes, int], path: str | None):
         self.coding, self.weights, self.total, self.types, self.ends, self.path = coding, weights, total, types, ends, path
-        self.top = {w: self.base(c) for w, c in top.items()}
+        self.words = list(top)
+        self.logs = self.base(np.fromiter(top.values(), np.int64, len(top)))
 
     def base(self, count):
         return np.log10((count + 1) / (self.total + self.types + 1))
@@ -411,7 +463,7 @@ def learn(spark: SparkSession, docs: DataFrame, path: str | None = None) -> tupl
     ids = learning.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
     wanted = spark.createDataFrame([(i,) for i in {r["doc_id"] for r in ids}], "doc_id long")
     texts = sorted((r["doc_id"], (r["text"] or "").encode()) for r in learning.join(F.broadcast(wanted), "doc_id").collect())
-    sample = Ids(path)([t.lower().split() for _, t in texts])
+    sample = Lexicon(path)([t.lower().split() for _, t in texts])
     coding, weights = Coding(tally, begins_word(path), sample), init()
     if texts:
         sym, target, _ = windows(sample, coding)
@@ -428,7 +480,7 @@ def _average(spark: SparkSession, learning: DataFrame, weights: dict, coding: Co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, code = start.value
         own = {k: v.copy() for k, v in first.items()}
-        ids, n, adam = Ids(path), 0, None
+        ids, n, adam = Lexicon(path), 0, None
         for b in blocks(batches, "text", BLOCK_BYTES):
             sym, target, _ = windows(ids([t.lower().split() for t in raw_texts(b)]), code)
             cls, slot = coded(target, code)
@@ -462,26 +514,27 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, counts: DataFrame
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shared = spark.sparkContext.broadcast(model)  # weights, codes and TOP_WORDS words
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        ids, base, n = Ids(m.path), TaskContext.get().partitionId() << 40, 0
-        end, get = m.base(m.ends), m.top.get
+        lex, base, n = lexicon(m.path, m.words, name), TaskContext.get().partitionId() << 40, 0
+        frequent, end = len(m.words), m.base(m.ends)
+        logs = np.append(m.logs, 0.0)
         for b in blocks(batches, "text", BLOCK_BYTES):
-            words = [t.lower().split() for t in raw_texts(b)]
-            known, sums, rare, times = [], [], [], []
-            for w in words:
-                got = np.fromiter(map(get, w, repeat(1.0)), np.float64, len(w))
-                miss = got > 0
-                known.append(len(w) - int(miss.sum()) + (m.ends > 0))
-                sums.append(float(got[~miss].sum()) + end)
-                left = Counter(w[k] for k in np.flatnonzero(miss).tolist())
-                rare.append(list(left))
-                times.append(list(left.values()))
+            numbers, per = lex.numbers([t.lower().split() for t in raw_texts(b)])
+            text = np.repeat(np.arange(len(per)), per)
+            often = numbers < frequent
+            known = np.bincount(text[often], minlength=len(per)) + (m.ends > 0)
+            sums = np.bincount(text, logs[np.minimum(numbers, frequent)], len(per)) + end
+            pair, times = np.unique(text[~often] << 32 | numbers[~often], return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pair >> 32, minlength=len(per)))]).astype(np.int32)
+            rare = pa.array([lex.names[k] for k in (pair & 0xFFFFFFFF).tolist()], pa.binary())
             yield pa.RecordBatch.from_arrays([
-                pa.array(range(base + n, base + n + len(words)), pa.int64()), b.column("doc_id"), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()),
-                pa.array(score(m.weights, m.coding, ids(words))), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
+                pa.array(range(base + n, base + n + len(per)), pa.int64()), b.column("doc_id"), pa.array(per + 1), pa.array(known), pa.array(sums), pa.array(score(m.weights, m.coding, lex.spelled(numbers, per))),
+                pa.ListArray.from_arrays(pa.array(ends), rare), pa.ListArray.from_arrays(pa.array(ends), pa.array(times)),
             ], names=["rid", "doc_id", "n_tokens", "known", "base", "score", "rare", "times"])
-            n += len(words)
+            n += len(per)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = materialize(spark, rows.mapInArrow(run, "rid long, doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"), "lm-scored")

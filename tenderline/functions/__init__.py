@@ -1 +1 @@
-
+"""Column expressions: text, dates, amounts and identities."""

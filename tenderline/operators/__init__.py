@@ -1 +1 @@
-
+"""Operators: DataFrame in, DataFrame out; nothing is collected but parameters."""

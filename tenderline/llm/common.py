@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -150,12 +151,18 @@ def word_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
+@lru_cache(8)
+def _powers_upto(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers; tables of a power of two entries are kept."""
+    return _powers_upto(base, 1 << max(n - 1, 0).bit_length())[:n]
+
+
 def _inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
@@ -167,11 +174,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes whose words are hashed at a time: some 50 bytes of memory for each.
+HASHED_BYTES = 1 << 19
+
+
 def word_hashes(buf: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
-    """64 bits for each word, equal for equal words in any text."""
-    p = _powers(_P, len(buf) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], dtype=np.uint64)])
-    return mix((sums[w1] - sums[w0]) * _powers(_inverse(_P), len(buf) + 1)[w0])
+    """64 bits for each word, equal for equal words in any text; words in order of their places."""
+    out = np.empty(len(w0), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(w0, np.arange(0, len(buf), HASHED_BYTES)), len(w0))).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        first = w0[a]
+        part = buf[first : w1[b - 1]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(part)), dtype=np.uint64)]) if len(part) else np.zeros(1, np.uint64)
+        out[a:b] = (sums[w1[a:b] - first] - sums[w0[a:b] - first]) * _powers(_inverse(_P), len(part) + 1)[w0[a:b] - first]
+    return mix(out)
 
 
 def run_hashes(word: np.ndarray, at: np.ndarray, n: int | np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ from .components import components
 
 BLOCK_BYTES = 1 << 20
 #: Shingles of a cluster that one task holds.
-CLUSTER = 2_000_000
+CLUSTER = 1_000_000
 #: Weight of a binary probe against a merged entry in the choice of L.
 MU = 0.01
 
@@ -229,8 +229,14 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
 
 def _searched(k: int, num: int, den: int):
     def links(rids: list[int], texts: list[bytes]):
-        h, ends = shingle_sets(texts, k)
-        sets = np.split(h, ends[:-1])
+        sets, some, size = [], [], 0
+        for n, t in enumerate(texts, 1):  # a bounded part of the texts at a time
+            some.append(t)
+            size += len(t)
+            if size > BLOCK_BYTES or n == len(texts):
+                h, ends = shingle_sets(some, k)
+                sets += [x.copy() for x in np.split(h, ends[:-1])]
+                some, size = [], 0
         by = sorted(range(len(rids)), key=lambda r: (len(sets[r]), rids[r]))
         found = search([sets[r] for r in by], num, den)
         return pa.RecordBatch.from_arrays([pa.array([rids[by[a]] for a, _ in found], pa.int64()), pa.array([rids[by[b]] for _, b in found], pa.int64())], names=["a", "b"])

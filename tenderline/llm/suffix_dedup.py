@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blocks, materialize, mix, pack, parallelism, raw_texts
+from .common import blocks, materialize, mix, pack, parallelism, raw_texts
 
 LENGTH, GRAM = 400, 32
 BLOCK_BYTES = 1 << 20
@@ -246,7 +246,7 @@ def covered(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     # A chunk alone under its anchor needs a look only if it may repeat itself and is not covered already.
     some = kinds.where("kinds > 1 or (inside and times = 1)").select(F.col("at.rid").alias("rid"), F.col("at.start").alias("start"), "n", "anchor", "digest", F.coalesce("size", F.lit(0)).alias("size"))
     some = materialize(spark, some, "suffix-chunks")
-    texts = split.select("rid", "bytes").join(F.broadcast(some) if some.count() <= BROADCAST_ROWS // 4 else some, "rid")
+    texts = split.select("rid", "bytes").join(some.hint("merge"), "rid")  # one way at every size
     chunks = texts.select(F.col("anchor").alias("g"), "anchor", "digest", F.lit(0).alias("base"), F.expr(f"substring(bytes, start + 1, n + {LENGTH - 1})").alias("chunk"), "size")
     parts = parallelism(spark)
     parted = materialize(spark, chunks, "suffix-bytes")

@@ -6,9 +6,11 @@ Two documents link when ``den * |intersection| >= num * |union|`` of their shing
 2. Candidates by pigeonhole. Two linked sets of at most s shingles differ in at most d = 2 s (den - num) / (den + num)
    shingles. The shingles' range is cut into more than d parts, so some part is equal in both. A set sends one key for each
    part that is not empty, made from the part's content, under the size class in which it can be the larger set and under
-   the next one; linked sizes never lie further apart. A set with so many empty parts that all its other parts might
-   differ sends one more key, common to such sets. So linked sets share a key, and sets that share some frequent
-   shingles mostly do not. Rows with equal keys are chained to the first of them while the sorted keys stream by.
+   the next one; linked sizes never lie further apart. There are some more parts than d + 1, the allowance: a set whose keys
+   that others share, together with its empty parts, do not exceed it has d + 1 parts of its own, so it links with nothing
+   and leaves. That is asked again of the sets that remain. (A set with more empty parts than the allowance sends one more
+   key, common to such sets.) So linked sets stay and share a key, and sets that share a passage mostly leave. Rows with
+   equal keys are chained to the first of them.
 3. The chains' components are clusters that no link leaves. In each, a set looks for the earlier (not larger) ones that
    share at least T shingles with it: the short inverted lists are merged and counted, the L longest (DivideSkip) are probed by
    binary search for the sets that reached T - L. A cluster of more than ``CLUSTER`` shingles is cut into blocks, and
@@ -92,12 +94,12 @@ def _parts(c: int, num: int, den: int) -> tuple[int, int]:
     return differ + 1 + slack, slack
 
 
-def keys(h: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, position of the set) of all sets that are not empty."""
+def keys(h: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, twice the position of the set plus 1 for the next class, shared keys that do not matter) of all sets that are not empty."""
     starts = np.concatenate([[0], ends[:-1]])
     n = ends - starts
     c = np.searchsorted(_bounds(num, den), n, side="right") - 1
-    out_k, out_s = [], []
+    out_k, out_s, out_a = [], [], []
     for up in (0, 1):
         own = np.maximum(c, 0) + up
         table = {x: _parts(int(x), num, den) for x in np.unique(own)}
@@ -110,14 +112,16 @@ def keys(h: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarra
             at = np.flatnonzero(new)
             total = np.add.reduceat(mix(h + np.uint64(3)), at)
             out_k.append(mix(total + mix(own[which[at]].astype(np.uint64) << np.uint64(40) | part[at])))
-            out_s.append(which[at])
             full = np.bincount(which[at], minlength=len(n))
-            many = np.flatnonzero((n > 0) & (g - full > slack))
+            allow = slack - (g - full)
+            many = np.flatnonzero((n > 0) & (allow < 0))
             out_k.append(mix(mix(own[many].astype(np.uint64)) + np.uint64(7)))
-            out_s.append(many)
+            for x in (which[at], many):
+                out_s.append(2 * x + up)
+                out_a.append(allow[x])
     if not out_k:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_k), np.concatenate(out_s)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_k), np.concatenate(out_s), np.concatenate(out_a)
 
 
 def _numbered(k: int, names: list[str]):
@@ -137,30 +141,43 @@ def _numbered(k: int, names: list[str]):
 def _keyed(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text", BLOCK_BYTES):
-            key, at = keys(*shingle_sets(raw_texts(b, "_text"), k), num, den)
-            rid = b.column("_rid").to_numpy()[at]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid)], names=["key", "rid"])
+            key, at, allow = keys(*shingle_sets(raw_texts(b, "_text"), k), num, den)
+            rid = 2 * b.column("_rid").to_numpy()[at >> 1] + (at & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid), pa.array(allow.astype(np.int32))], names=["key", "rid", "allow"])
 
     return run
 
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, rid) -> links from each row to the first with its key, each once in a batch."""
-    last_key, first = None, None
+_KEYED = "key long, rid long, allow int"
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key another row has too; a single row is held back between batches."""
+    held, shared_before = None, []
     for b in batches:
-        key, rid = b.column("key").to_numpy(), b.column("rid").to_numpy()
-        if not len(key):
+        b = pa.RecordBatch.from_arrays([pa.concat_arrays([held.column(k), b.column(k)]) for k in range(3)], names=b.schema.names) if held is not None else b
+        if not b.num_rows:
             continue
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        new[0] = last_key is None or key[0] != last_key
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        head = np.where(at >= 0, rid[at], first if first is not None else 0)
-        last_key, first = key[-1], head[-1]
-        some = head != rid
-        pairs = np.unique(np.stack([rid[some], head[some]], 1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        key = b.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        if shared_before and key[0] == shared_before[0]:
+            keep[0] = True
+        # The last row waits for the next batch, unless its key is known to be shared.
+        held = None if keep[-1] else b.slice(b.num_rows - 1)
+        if keep.any():
+            yield b.filter(pa.array(keep))
+        shared_before = [key[-1]] if keep[-1] else []
+
+
+def _remaining(spark: SparkSession, shared: DataFrame, rounds: int = 2) -> DataFrame:
+    """The shared rows of the sets whose shared keys exceed what is allowed, asked ``rounds`` times."""
+    for _ in range(rounds):
+        some = shared.groupBy("rid").agg(F.count("*").alias("n"), F.first("allow").alias("a")).where("n > a").select("rid")
+        left = shared.join(some, "rid", "left_semi")
+        lists = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        shared = materialize(spark, left.join(lists, "key", "left_semi").select("key", "rid", "allow"), "shared")
+    return shared
 
 
 def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -268,9 +285,11 @@ def number(spark: SparkSession, docs: DataFrame, carry: list[str], k: int, text:
 def grouped(spark: SparkSession, numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """_rid, component_id, kept for each row of the written table: the component's least id, and one row of those with that id."""
     parts = parallelism(spark)
-    keyed = numbered.where("_rep = _rid and _n > 0").select("_rid", "_text").mapInArrow(_keyed(k, num, den), "key long, rid long")
-    chains = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_chained, "a long, b long")
-    clusters = components(spark, chains)
+    keyed = numbered.where("_rep = _rid and _n > 0").select("_rid", "_text").mapInArrow(_keyed(k, num, den), _KEYED)
+    shared = materialize(spark, keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, _KEYED), "shared")
+    shared = _remaining(spark, shared).select("key", F.shiftright("rid", 1).alias("a"))
+    first = shared.groupBy("key").agg(F.min("a").alias("b"))
+    clusters = components(spark, shared.join(first, "key").select("a", "b"))
     links = _links(spark, numbered, clusters, k, num, den, parts)
     comps = components(spark, links)
     at = numbered.select("_rid", "_rep", "_id").join(comps.select(F.col("v").alias("_rep"), "comp"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))

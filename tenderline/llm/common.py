@@ -38,6 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of rows that go to a Python worker at a time; long texts make large batches.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the batches between the JVM and Python workers small, so that memory does not grow with the rows' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 _RECORDING: list[list[str]] = []
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import attention_lm, bpe, exact_dedup, jaccard_join, language_crf, mixing, quality_crf, quality_rules, suffix_dedup, url_filter
-from .common import table
+from .common import small_batches, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +50,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"), whole=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_bpe, op4_language_id, op5_mixing, op6_jaccard_join, op7_attention_lm, op8_quality_rules, op9_url_filter, op10_suffix_dedup)}
+    def bounded(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return f(spark, sf_dir)
+
+        run.__name__ = f.__name__
+        return run
+
+    return {f.__name__: bounded(f) for f in (op1_quality_classifier, op2_exact_dedup, op3_bpe, op4_language_id, op5_mixing, op6_jaccard_join, op7_attention_lm, op8_quality_rules, op9_url_filter, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

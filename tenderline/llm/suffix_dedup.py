@@ -274,11 +274,12 @@ def _found(chunks: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(_compared, _RANGES)
 
 
-_RESULT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, starts array<long>, stops array<long>, kept_sha256 string"
-_RESULT_NAMES = [x.split()[0] for x in _RESULT.split(", ")]
+_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT = _DIGEST + ", kept binary, starts array<long>, stops array<long>"
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cleaned(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in (_RESULT if whole else _DIGEST).split(", ")]
     for b in blocks(batches, "bytes", BLOCK_BYTES):
         cols: list[list] = [[] for _ in range(7)]
         for text, starts, stops in zip(b.column("bytes").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
@@ -289,12 +290,12 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(edge, stops, -1)
                 s, e = (x.tolist() for x in _ranges(np.cumsum(edge[:-1]) > 0))
             kept = b"".join(text[x:y] for x, y in zip([0, *e], [*s, len(text)], strict=True))
-            for c, x in zip(cols, (kept, len(text), len(text) - len(kept), len(s), s, e, hashlib.sha256(kept).hexdigest()), strict=True):
+            for c, x in zip(cols, (len(text), len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept, s, e), strict=True):
                 c.append(x)
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=_RESULT_NAMES)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))][: len(names)], names=names)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, kept (the bytes that stay), n_bytes, n_removed, n_spans, starts and stops of the removed runs, kept_sha256."""
-    return covered(spark, docs, doc_id, text).mapInArrow(_cleaned, _RESULT)
+def remove_repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``whole``, kept (the bytes that stay), starts and stops of the removed runs."""
+    return covered(spark, docs, doc_id, text).mapInArrow(lambda batches: _cleaned(batches, whole), _RESULT if whole else _DIGEST)

@@ -69,60 +69,3 @@ def first_non_negative(row: Column, keys: list[str]) -> Column:
         return F.when((text != "") & (value >= 0), value)
 
     return F.coalesce(*(one(row[k]) for k in keys))
-
-
-def allocate(amount: Column, weights: Column) -> Column:
-    """Splits a whole amount by whole weights: floors, then one unit each by the largest remainder, the first on ties. No positive weight: zeros.
-
-    Whole-number arithmetic, so no float error moves a unit.
-    """
-    total = F.aggregate(weights, F.lit(0).cast("decimal(38,0)"), lambda a, w: (a + w).cast("decimal(38,0)"))
-    amount = amount.cast("decimal(38,0)")
-
-    def parts(w, i):
-        product = (amount * w).cast("decimal(38,0)")
-        rest = F.pmod(product, total)
-        return F.struct((-rest).alias("r"), i.alias("i"), ((product - rest) / total).cast("bigint").alias("base"))
-
-    cells = F.transform(weights, parts)
-    left = amount.cast("bigint") - F.aggregate(cells, F.lit(0).cast("bigint"), lambda a, c: a + c["base"])
-    lucky = F.transform(F.filter(F.transform(F.array_sort(cells), lambda c, k: F.struct(c["i"].alias("i"), k.alias("k"))), lambda c: c["k"] < left), lambda c: c["i"])
-    out = F.transform(cells, lambda c: c["base"] + F.array_contains(lucky, c["i"]).cast("bigint"))
-    return F.when(total > 0, out).otherwise(F.transform(weights, lambda w: F.lit(0).cast("bigint")))
-
-
-#: Shares are whole in units of a millionth of a percent.
-RATE_UNIT = 1_000_000
-
-
-def attribute(suppliers: Column, current: Column, total: Column) -> Column:
-    """Array of (biz_no, name, total, current, kind) from an array of (biz_no, name, amount, rate), one supplier a number.
-
-    All amounts known and within the total: as reported, the current amount in proportion. All rates known, each at most
-    100, together 100 within 0.001: by rate. Else the whole to one supplier or equal shares.
-    """
-    n = F.size(suppliers)
-    total0, current0 = F.coalesce(total, F.lit(0)).cast("double"), F.coalesce(current, F.lit(0)).cast("double")
-    sum_of = lambda f: F.aggregate(suppliers, F.lit(0.0), lambda a, s: a + F.coalesce(s[f], F.lit(0.0)))
-    by_amount = F.forall(suppliers, lambda s: s["amount"].isNotNull()) & (sum_of("amount") <= total0)
-    by_rate = F.forall(suppliers, lambda s: s["rate"].isNotNull() & (s["rate"] <= 100)) & (F.abs(sum_of("rate") - 100) < 0.001)
-    kind = F.when(by_amount, "supplier-reported").when(by_rate, "supplier-rate").when(n == 1, "full-contract").otherwise("equal-share")
-    weights = F.when(by_rate & ~by_amount, F.transform(suppliers, lambda s: rounded(s["rate"] * RATE_UNIT))).otherwise(F.transform(suppliers, lambda s: F.lit(1).cast("long")))
-
-    def split(amount):
-        # A fractional amount is split exactly, the rest of the sum to the first.
-        w = F.transform(weights, lambda x: x.cast("double"))
-        sum_w = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-        plain = F.transform(w, lambda x: amount * x / sum_w)
-        rest = amount - F.aggregate(plain, F.lit(0.0), lambda a, x: a + x)
-        exact = F.transform(plain, lambda x, i: x + F.when(i == 0, rest).otherwise(0.0))
-        return F.when(amount == F.floor(amount), F.transform(allocate(amount, weights), lambda x: x.cast("double"))).otherwise(exact)
-
-    totals, currents = split(total0), split(current0)
-
-    def one(s, i):
-        t = F.when(by_amount, s["amount"]).otherwise(F.get(totals, i))
-        c = F.when(by_amount, F.when(total0 > 0, current0 * s["amount"] / total0).otherwise(0.0)).otherwise(F.get(currents, i))
-        return F.struct(s["biz_no"].alias("biz_no"), s["name"].alias("name"), t.alias("total"), c.alias("current"), kind.alias("kind"))
-
-    return F.transform(suppliers, one)

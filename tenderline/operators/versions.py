@@ -70,10 +70,16 @@ def distinct_suppliers(suppliers: Column) -> Column:
     return F.array_distinct(F.transform(suppliers, lambda s: F.struct(s["biz_no"].alias("biz_no"), s["name"].alias("name"))))
 
 
-def expand_suppliers(contracts: DataFrame, requested: DataFrame, suppliers: str = "suppliers") -> DataFrame:
-    """One row for each contract and requested supplier (a column biz_no), from attributed suppliers. The request is a small list."""
-    each = contracts.withColumn("_s", F.explode(suppliers)).drop(suppliers)
-    return each.select("*", "_s.*").drop("_s").join(requested.select("biz_no").distinct(), "biz_no", "left_semi")
+def expand_suppliers(contracts: DataFrame, suppliers: str = "suppliers") -> DataFrame:
+    """One row for each contract and distinct supplier number: position, biz_no, name, amount, rate beside the contract's columns."""
+    one = contracts.withColumn(suppliers, unique_suppliers(F.col(suppliers)))
+    rest = [c for c in contracts.columns if c != suppliers]
+    return one.select(*rest, F.posexplode(suppliers).alias("position", "_s")).select(*rest, "position", "_s.*")
+
+
+def of_requested(rows: DataFrame, requested: DataFrame, supplier: str = "biz_no") -> DataFrame:
+    """Rows of requested suppliers, after the split over all of a contract's suppliers. The request is a small list."""
+    return rows.join(requested.select(supplier).distinct(), supplier, "left_semi")
 
 
 def drop_superseded(cached: DataFrame, latest: DataFrame, key: str, order: str, date: str, supplier: str, suppliers: str) -> DataFrame:

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _all() -> list[Callable]:
+    from . import sales
+
+    return [*sales.QUERIES]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _all()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: f.sql for f in _all() if getattr(f, "sql", None)}

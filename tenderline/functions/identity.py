@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import canonical_text, digits, text_or_empty, trimmed
 
@@ -30,7 +31,7 @@ def numbered_row_hash(row: Column, biz_no: Column) -> Column:
     return row_hash(F.map_concat(F.map_filter(row, lambda k, v: k != "__normalizedBizNo"), F.create_map(F.lit("__normalizedBizNo"), biz_no)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def observation_hash(raw: pd.Series) -> pd.Series:
     """SHA-256 of JSON text with keys sorted at every depth; text that is no JSON is hashed as it is."""
 

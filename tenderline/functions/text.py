@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _EDGE = r"(?U)^[\s﻿]+|[\s﻿]+$"
 
@@ -79,7 +80,7 @@ def number_list(c: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(F.split(c, r"(?U)[,\s/]+"), business_number)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _all() -> list[Callable]:
-    from . import sales
+    from . import records, sales
 
-    return [*sales.QUERIES]
+    return [*sales.QUERIES, *records.QUERIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -136,6 +136,11 @@ def redacted(c: Column, key: str = "serviceKey") -> Column:
     return F.regexp_replace(c, rf"(?i)({re.escape(key)}=)[^&\s]+", "$1[REDACTED]")
 
 
+def without_secrets(c: Column) -> Column:
+    """Quoted values that are assigned to tokens, secrets, passwords and keys hidden."""
+    return F.regexp_replace(c, r'(?i)(token|secret|password|key)(\s*[=:]\s*)"[^"]*"', '$1$2"[REDACTED]"')
+
+
 def csv_field(c: Column) -> Column:
     """Quoted where it holds a comma, a quote or a line end; null is empty."""
     text = F.coalesce(c.cast("string"), F.lit(""))

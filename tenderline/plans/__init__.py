@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _all() -> list[Callable]:
-    from . import records, sales
+    from . import records, sales, scalars
 
-    return [*sales.QUERIES, *records.QUERIES]
+    return [*sales.QUERIES, *records.QUERIES, *scalars.QUERIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -52,8 +52,9 @@ OWN_SYMBOLS, HASHED_SYMBOLS = 1024, 256
 CLASSES, SLOTS = 33, 32
 WIDTH, HIDDEN = 32, 32
 WINDOW, CONTEXT = 32, 8
-#: Learning rows of the start, at most; its steps; windows a step; the share of rows (1 in so many) that tasks train on.
-SAMPLE, STEPS, BATCH, RATE = 2000, 4000, 64, 1e-2
+#: Learning rows of the start, at most; its steps and passes over these rows, at most; windows a step; the share of rows (1 in
+#: so many) that tasks train on.
+SAMPLE, STEPS, PASSES, BATCH, RATE = 2000, 4000, 7, 64, 1e-2
 SHARE, TASK_RATE = 128, 1e-3
 FIXED = 1 << 20
 
@@ -467,7 +468,7 @@ def learn(spark: SparkSession, docs: DataFrame, path: str | None = None) -> tupl
     coding, weights = Coding(tally, begins_word(path), sample), init()
     if texts:
         sym, target, _ = windows(sample, coding)
-        train(weights, sym, target, coding, STEPS, RATE, 5)
+        train(weights, sym, target, coding, min(STEPS, -(-PASSES * len(sym) // BATCH)), RATE, 5)
         weights = _average(spark, learning, weights, coding, path)
     return Model(coding, weights, total, types, ends, top, path), counts
 

@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_jaccard_join": jaccard_join.SQL, "op9_url_filter": url_filter.SQL}

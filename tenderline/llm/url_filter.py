@@ -116,3 +116,39 @@ def calibrate(scores: DataFrame) -> float:
     bins = bins.withColumn("good", below("block") / part("block") - below("allow") / part("allow"))
     best = bins.orderBy(F.col("good").desc_nulls_last(), "b").first()
     return best["b"] * BIN if best and best["good"] is not None else -float(RANGE)
+
+
+def _sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rules = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    when = lambda out: " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{out(h, p, v)}'" for h, p, v in rules)
+    levels = []
+    for k in range(ORDER + 1):
+        below = f"JOIN l{k - 1} AS lower ON lower.g = substr(w.g, 2, {k})" if k else ""
+        base = lambda c: f"lower.p{c}" if k else f"(1.0::DOUBLE / {ALPHABET})"  # noqa: B023, E731
+        p = ", ".join(f"CASE WHEN n{c} + t{c} > 0 THEN ({c}::DOUBLE + t{c} * {base(c)}) / (n{c} + t{c}) ELSE {base(c)} END AS p{c}" for c in "ar")
+        sums = ", ".join(f"sum({c}) OVER (PARTITION BY substr(g, 1, {k}))::BIGINT AS n{c}, sum(({c} > 0)::INT) OVER (PARTITION BY substr(g, 1, {k}))::BIGINT AS t{c}" for c in "ar")
+        levels.append(f"g{k} AS (SELECT substr(g, {ORDER + 1 - k}, {k + 1}) AS g, sum(a)::BIGINT AS a, sum(r)::BIGINT AS r FROM f GROUP BY 1), w{k} AS (SELECT *, {sums} FROM g{k}), l{k} AS (SELECT w.g, {p} FROM w{k} AS w {below})")
+    bound = int(RANGE / BIN)
+    return f"""
+WITH p AS (SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+x AS (SELECT *, CASE {when(lambda h, p, v: h + p)} END AS rule, CASE {when(lambda h, p, v: v)} END AS by_rule FROM h),
+urls AS (SELECT url, any_value(by_rule) AS v, count(*) AS n FROM x WHERE url <> '' GROUP BY url),
+b AS (SELECT *, repeat(chr(2), {ORDER}) || lower(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE url END) || chr(3) AS body FROM urls),
+e AS (SELECT url, v, n, body, unnest(generate_series(1, length(body) - {ORDER})) AS i FROM b),
+s AS (SELECT url, v, n, substr(body, i, {ORDER + 1}) AS g FROM e),
+f AS (SELECT g, coalesce(sum(n) FILTER (v = 'allow'), 0) AS a, coalesce(sum(n) FILTER (v = 'block'), 0) AS r FROM s GROUP BY g),
+{", ".join(levels)},
+m AS (SELECT g, round(ln(pa / pr) * {UNIT})::BIGINT AS llr FROM l{ORDER}),
+sc AS (SELECT url, any_value(v) AS v, any_value(n) AS n, sum(llr)::DOUBLE / count(*) / {UNIT} AS score FROM s JOIN m USING (g) GROUP BY url),
+bins AS (SELECT least(greatest(floor(score / {BIN}::DOUBLE), -{bound}), {bound})::BIGINT AS b, coalesce(sum(n) FILTER (v = 'allow'), 0)::BIGINT AS a, coalesce(sum(n) FILTER (v = 'block'), 0)::BIGINT AS r FROM sc WHERE v IS NOT NULL GROUP BY 1),
+good AS (SELECT b, coalesce(sum(r) OVER w, 0)::DOUBLE / (sum(r) OVER ()) - coalesce(sum(a) OVER w, 0)::DOUBLE / (sum(a) OVER ()) AS good FROM bins WINDOW w AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT b * {BIN}::DOUBLE AS cut FROM good ORDER BY good DESC, b LIMIT 1)
+SELECT page_id, host, path, rule, CASE WHEN by_rule IS NOT NULL THEN by_rule WHEN score < (SELECT cut FROM cut) THEN 'block' ELSE 'allow' END AS verdict, score
+FROM x LEFT JOIN sc USING (url)
+"""
+
+
+#: With both kinds of labelled URLs in the table.
+SQL = _sql()

@@ -279,6 +279,7 @@ def rule_of(url):
 def test_urls(spark, sf_dir):
     urls = {r.page_id: r.url for r in table(spark, sf_dir, "pages").collect()}
     got = queries.queries()["op9_url_filter"](spark, sf_dir).collect()
+    same(queries.queries()["op9_url_filter"](spark, sf_dir), url_filter.SQL, sf_dir)
     assert len(got) == len(urls)
     for r in got:
         host, path, rule, verdict = rule_of(urls[r.page_id])

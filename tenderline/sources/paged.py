@@ -14,7 +14,7 @@ import time
 import urllib.parse
 import urllib.request
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from .errors import Incomplete, Response, Temporary
 
@@ -115,8 +115,23 @@ class _Reader(DataSourceReader):
         yield partition.window, partition.page, total, n, text
 
 
+class _PushReader(_Reader):
+    def pushFilters(self, filters):  # noqa: N802
+        """A window asked for by name is the only one whose pages are fetched."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("window",):
+                self.windows = [w for w in self.windows if w == f.value]
+            elif isinstance(f, In) and f.attribute == ("window",):
+                self.windows = [w for w in self.windows if w in f.value]
+            else:
+                yield f
+
+
 class PagedJson(DataSource):
-    """Options: windows (joined by commas), root or template, page_size, most_pages, pause_s."""
+    """Options: windows (joined by commas), root or template, page_size, most_pages, pause_s, pushdown.
+
+    ``pushdown=true`` needs spark.sql.python.filterPushdown.enabled in the session.
+    """
 
     @classmethod
     def name(cls):
@@ -126,7 +141,7 @@ class PagedJson(DataSource):
         return "window string, page_no int, total_count bigint, n_items int, page string"
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return (_PushReader if self.options.get("pushdown") == "true" else _Reader)(self.options)
 
 
 def growing_pages(fetch, most: int = 100) -> list:

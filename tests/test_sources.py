@@ -45,6 +45,11 @@ def test_paged_source(spark, tmp_path):
     df = spark.read.format("paged_json").option("root", str(tmp_path)).option("windows", "w1,w2").option("pause_s", "0").load()
     assert sorted((r.window, r.page_no, r.n_items) for r in df.collect()) == [("w1", 1, 2), ("w1", 2, 1), ("w2", 1, 0)]
     assert envelope.exploded(df).count() == 3
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert spark.read.format("paged_json").option("root", str(tmp_path)).option("windows", "w1,gone").option("pushdown", "true").option("pause_s", "0").load().where("window = 'w1'").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     write(tmp_path / "w2" / "1.json", page([], 5))
     with pytest.raises(Exception, match="empty"):
         spark.read.format("paged_json").option("root", str(tmp_path)).option("windows", "w2").option("pause_s", "0").load().collect()

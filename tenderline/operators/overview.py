@@ -69,7 +69,9 @@ def nested(ranked: DataFrame, sales: DataFrame, columns: list[str]) -> DataFrame
     """The ranked companies with an array of their contracts, latest and largest first."""
     own = sales.groupBy("supplier").agg(F.collect_list(F.struct(F.col("date").alias("_d"), F.col("amount").alias("_a"), *columns)).alias("c"))
     listed = F.transform(F.reverse(F.array_sort("c")), lambda s: F.struct(*(s[c].alias(c) for c in columns)))
-    return ranked.join(own.select("supplier", listed.alias("contracts")), "supplier", "left").withColumn("contracts", F.coalesce("contracts", F.array().cast(own.select(listed.alias("c")).schema["c"].dataType)))
+    own = own.select("supplier", listed.alias("contracts"))
+    none = F.array().cast(own.schema["contracts"].dataType)
+    return ranked.join(own, "supplier", "left").withColumn("contracts", F.coalesce("contracts", none))
 
 
 def unavailable(registry: DataFrame, status: str) -> DataFrame:

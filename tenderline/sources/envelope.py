@@ -19,7 +19,7 @@ def items_of(page: Column) -> Column:
     return F.coalesce(as_list, F.when(F.trim(one).startswith("{"), as_one), F.array().cast(f"array<{ITEM}>"))
 
 
-#: Where a result header may stand.
+# Where a result header may stand.
 HEADERS = ("$.response.header", "$['nkoneps.com.response.ResponseError'].header")
 COMMON = "$.OpenAPI_ServiceResponse.cmmMsgHeader"
 

@@ -338,6 +338,8 @@ def train(p: dict, sym: np.ndarray, target: np.ndarray, coding: Coding, steps: i
 
 #: Scores of the network are cut off here, so their exponentials need no shift; sums stay finite.
 MOST = np.float32(40)
+#: Windows that are scored at a time: few enough to stay in a core's cache.
+CHUNK = 256
 
 
 def _chosen(z: np.ndarray, rows: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -357,8 +359,8 @@ def score(p: dict, coding: Coding, ids: list[np.ndarray]) -> np.ndarray:
     near = np.where(_CAUSAL, np.exp(p["near"][np.abs(_BACK)]), np.float32(0))
     sym, target, text = windows(ids, coding)
     out = np.zeros(len(ids))
-    for at in range(0, len(sym), 256):
-        s, y = sym[at : at + 256], target[at : at + 256]
+    for at in range(0, len(sym), CHUNK):
+        s, y = sym[at : at + CHUNK], target[at : at + CHUNK]
         a = eq[s] @ ek[s].transpose(0, 2, 1)
         np.clip(a, -MOST, MOST, out=a)
         np.exp(a, out=a)
@@ -386,7 +388,7 @@ def score(p: dict, coding: Coding, ids: list[np.ndarray]) -> np.ndarray:
         first = g @ p["c"]
         first += p["cb"]
         logp = coding.inside[y] + _chosen(first, rows, cls) + _chosen(z, rows, coding.slot[y])
-        out += np.bincount(text[at : at + 256][row], logp, len(ids))
+        out += np.bincount(text[at : at + CHUNK][row], logp, len(ids))
     return out / np.log(10)
 
 

@@ -89,6 +89,14 @@ def begins_word(path: str | None = None) -> np.ndarray:
     return out
 
 
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``values`` written from ``at`` on, into a larger copy where there is no room."""
+    if at + len(values) > len(array):
+        array = np.concatenate([array, np.zeros(at + 2 * len(values), array.dtype)])
+    array[at : at + len(values)] = values
+    return array
+
+
 class Lexicon:
     """Numbers of words and their subword ids. A word's ids do not depend on its neighbours, so they are made once.
 
@@ -100,7 +108,8 @@ class Lexicon:
         self.first = len(first)
         self.number: dict[bytes, int] = {}
         self.names: list[bytes] = []
-        self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        # Arrays with room to grow: the ids of word k are ids[begin[k]:begin[k + 1]].
+        self.ids, self.begin, self.n_ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
         self.add(list(first))
 
     def add(self, words: list[bytes]) -> None:
@@ -109,17 +118,18 @@ class Lexicon:
         # The ids that begin with a space part the words again.
         ids = np.asarray(self.enc.encode_ordinary((b" " + b" ".join(words)).decode()), np.int32)
         at = np.flatnonzero(self.starts[ids])
-        self.number.update(zip(words, range(len(self.names), len(self.names) + len(words)), strict=True))
+        n = len(self.names)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
         self.names += words
-        self.begin = np.concatenate([self.begin[:-1], at + len(self.ids), [len(self.ids) + len(ids)]])
-        self.ids = np.concatenate([self.ids, ids])
+        self.begin = _put(self.begin, n, np.append(at, len(ids)) + self.n_ids)
+        self.ids = _put(self.ids, self.n_ids, ids)
+        self.n_ids += len(ids)
 
     def forget(self) -> None:
         for w in self.names[self.first :]:
             del self.number[w]
         del self.names[self.first :]
-        self.begin = self.begin[: self.first + 1]
-        self.ids = self.ids[: self.begin[-1]]
+        self.n_ids = int(self.begin[self.first])
 
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all words, words of each text)."""
@@ -141,7 +151,7 @@ class Lexicon:
 
     def spelled(self, numbers: np.ndarray, per_text: np.ndarray) -> list[np.ndarray]:
         """The ids of each text's words and one end."""
-        size = np.diff(self.begin)[numbers]
+        size = self.begin[numbers + 1] - self.begin[numbers]
         total = np.concatenate([[0], np.cumsum(size)])
         ends = total[np.cumsum(per_text)]
         text = np.repeat(np.arange(len(per_text)), np.diff(np.concatenate([[0], ends])))

@@ -36,7 +36,7 @@ BLOCK_BYTES = 1 << 20
 #: From this code point on, versions of Unicode differ in what is a letter, so the library's own normaliser and splitter
 #: cut texts that go so far into words; the merges are made here all the same.
 UNSURE = "\u0370"
-#: Words that a worker remembers between blocks; beyond, it forgets all of them.
+#: Words that a worker remembers between blocks; beyond, it forgets those that were not met since it last held so many.
 REMEMBERED = 300_000
 
 
@@ -78,6 +78,7 @@ class Vocabulary:
         self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         if not text.isascii():
@@ -171,8 +172,12 @@ class Vocabulary:
         pieces = [self.pieces(t) if t else () for t in texts]
         new = set().union(*pieces).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             new = set().union(*pieces)
+        if self.older:
+            met = new.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in met)
+            new -= met
         words = []
         for w in new:
             if w[0] == "\0" and w[1:] in self.special:

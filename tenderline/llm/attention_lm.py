@@ -9,8 +9,8 @@ id in two softmax layers, its class and its slot in the class. The frequent ids
 follow alike contexts; the other ids share the slots of a last class by count and by whether they begin a word, and their
 counts over all learning rows, each at least one, tell them apart. So the model is a distribution over all texts.
 
-Training has two parts. A start is made on a bounded sample on the driver; then every task takes the windows of a fixed share
-of its learning rows from there, and the tasks' weights are averaged by their numbers of windows, in fixed point, so that reruns
+Training has two parts. A start is made on a bounded sample on the driver; then every task takes the windows of all its
+learning rows from there, once, and the tasks' weights are averaged by their numbers of windows, in fixed point, so that reruns
 agree. The words, ids, windows and weights that go into the model grow with the corpus.
 
 A text is scored in windows of ``WINDOW`` ids that overlap by ``CONTEXT``: each id is scored once, and all but the
@@ -52,10 +52,9 @@ OWN_SYMBOLS, HASHED_SYMBOLS = 1024, 256
 CLASSES, SLOTS = 33, 32
 WIDTH, HIDDEN = 32, 32
 WINDOW, CONTEXT = 32, 8
-#: Learning rows of the start, at most; its steps and passes over these rows, at most; windows a step; the share of rows (1 in
-#: so many) that tasks train on.
+#: Learning rows of the start, at most; its steps and passes over these rows, at most; windows a step.
 SAMPLE, STEPS, PASSES, BATCH, RATE = 2000, 4000, 7, 64, 1e-2
-SHARE, TASK_RATE = 128, 1e-3
+TASK_RATE = 1e-3
 FIXED = 1 << 20
 
 
@@ -486,7 +485,7 @@ def learn(spark: SparkSession, docs: DataFrame, path: str | None = None) -> tupl
 
 
 def _average(spark: SparkSession, learning: DataFrame, weights: dict, coding: Coding, path: str | None) -> dict:
-    """One pass of every task over its share of the rows from the same start, and the mean of what they reach."""
+    """One pass of every task over its learning rows from the same start, and the mean of what they reach."""
     start = spark.sparkContext.broadcast((weights, coding))
     names = list(weights)
 
@@ -508,8 +507,7 @@ def _average(spark: SparkSession, learning: DataFrame, weights: dict, coding: Co
             whole = np.round(moved.astype(np.float64) * FIXED).astype(np.int64) * n
             yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(whole)), -1)), pa.array(np.append(whole, n))], names=["k", "x"])
 
-    share = learning.where(F.crc32(F.concat(F.lit("t"), F.col("doc_id").cast("string")).cast("binary")) % SHARE == 0)
-    found = share.mapInArrow(run, "k long, x long").groupBy("k").agg(F.sum("x").cast("long").alias("x")).toPandas()
+    found = learning.mapInArrow(run, "k long, x long").groupBy("k").agg(F.sum("x").cast("long").alias("x")).toPandas()
     if not len(found):
         return weights
     by = dict(zip(found["k"].tolist(), found["x"].tolist(), strict=True))

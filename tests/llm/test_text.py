@@ -194,6 +194,17 @@ def test_lm_beats_the_base(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_trains_on_every_learning_row(spark):
+    texts = [cases.words(60, 200 + i) for i in range(4)]
+    ids = attention_lm.Lexicon(None)([t.encode().split() for t in texts])
+    counted = np.bincount(np.concatenate(ids), minlength=attention_lm.VOCABULARY).astype(float)
+    code, start = attention_lm.Coding(counted, attention_lm.begins_word(), ids), attention_lm.init()
+    for i, t in enumerate(texts):
+        row = spark.createDataFrame([(i, t)], "doc_id long, text string")
+        moved = attention_lm._average(spark, row, start, code, None)
+        assert any((moved[k] != start[k]).any() for k in start)
+
+
 def test_lm_cases(spark, monkeypatch):
     monkeypatch.setattr(attention_lm, "STEPS", 30)
     monkeypatch.setattr(attention_lm, "REMEMBERED", 50)

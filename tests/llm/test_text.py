@@ -61,6 +61,15 @@ def test_rules_cases(spark):
     assert quality_rules.judge(spark, cases.empty(spark), labels).count() == 0
 
 
+@pytest.mark.parametrize("flipped", [0, 10, 30])
+def test_rules_threshold_with_flipped_labels(flipped):
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(58, 8, 3300).round().astype(int), rng.normal(-2300, 500, 300).round().astype(int)
+    held = Counter([(1, s) for s in good.tolist()] + [(int(k < flipped), s) for k, s in enumerate(bad.tolist())])
+    cut = quality_rules._threshold([{"q": q, "s": s, "count": n} for (q, s), n in held.items()])
+    assert np.mean(bad < cut) > 0.98 and np.mean(good >= cut) > 0.998
+
+
 def test_forward_backward():
     rng = np.random.default_rng(1)
     lengths = np.array([1, 4, 3])

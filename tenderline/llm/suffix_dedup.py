@@ -8,8 +8,9 @@ The text is distributed so that no two equal strings of ``LENGTH`` bytes are par
 anchor, the least hash of its grams; equal windows have equal anchors. Neighbouring windows with one anchor form a chunk. Chunks
 meet by anchor: an anchor that one chunk holds has nothing to compare; equal chunks (by a 64-bit digest beside the
 64-bit anchor) cover each other whole and go on as one; the different chunks of an anchor are suffix-sorted together.
-Where the chunks of an anchor exceed ``GROUP_BYTES``, they are cut further by the anchors of another hash, as often as
-that helps, so very frequent passages do not gather their surroundings in one task.
+Where the chunks of an anchor exceed ``GROUP_BYTES``, they are cut further by the anchors of another hash, up to
+``ROUNDS`` times, and equal pieces collapse again after each; what still exceeds it is spread by its single windows, held
+against each other by a digest of 128 bits. So very frequent passages do not gather their surroundings in one task.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` bytes keep everything; matches never cross rows; equal
 rows match each other; nulls and repeats among ids do not matter, rows are told apart by number; an empty table gives an empty
@@ -36,6 +37,8 @@ BLOCK_BYTES = 1 << 20
 SORT_BYTES, GROUP_BYTES = 1 << 20, 4 << 20
 #: Further hashes that are tried on crowded anchors.
 ROUNDS = 3
+#: Windows that are digested at a time, and starts of a chunk that are gathered in one row.
+WINDOWS, STARTS = 1 << 16, 4096
 
 
 def _named(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -225,14 +228,48 @@ def _recut(seed: int):
             texts = b.column("chunk").to_pylist()
             g, anchor, digest, base = (b.column(k).to_pylist() for k in ("g", "anchor", "digest", "base"))
             text, value, start, count = (x.tolist() for x in chunks_of(texts, seed))
+            pieces = [texts[t][s : s + k + LENGTH - 1] for t, s, k in zip(text, start, count, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([xxhash.xxh3_64_intdigest(f"{g[t]},{v}") - (1 << 63) for t, v in zip(text, value, strict=True)], pa.int64()), pa.array([anchor[t] for t in text], pa.int64()), pa.array([digest[t] for t in text], pa.int64()),
-                pa.array([base[t] + s for t, s in zip(text, start, strict=True)], pa.int32()), pa.array([texts[t][s : s + k + LENGTH - 1] for t, s, k in zip(text, start, count, strict=True)], pa.binary()),
-            ], names=["g", "anchor", "digest", "base", "chunk"])
+                pa.array([base[t] + s for t, s in zip(text, start, strict=True)], pa.int32()), pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in pieces], pa.int64()), pa.array(pieces, pa.binary()),
+            ], names=["g", "anchor", "digest", "base", "piece", "chunk"])
 
     return run
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, a digest of each window of the pieces, and where it starts in the chunk they were cut from."""
+    for b in batches:
+        for group, anchor, digest, base, chunk in zip(*(b.column(k).to_pylist() for k in ("g", "anchor", "digest", "base", "chunk")), strict=True):
+            n = len(chunk) - LENGTH + 1
+            for at in range(0, n, WINDOWS):
+                some = range(at, min(at + WINDOWS, n))
+                made = [hashlib.blake2b(chunk[k : k + LENGTH], digest_size=16).digest() for k in some]
+                owner = [pa.array([x] * len(some), pa.int64()) for x in (group, anchor, digest)]
+                yield pa.RecordBatch.from_arrays([*owner, pa.array([base + k for k in some], pa.int32()), pa.array(made, pa.binary())], names=["g", "anchor", "digest", "at", "w"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Starts of a chunk -> ranges."""
+    for b in batches:
+        cols: list[list] = [[], [], [], []]
+        for anchor, digest, at in zip(*(b.column(k).to_pylist() for k in ("anchor", "digest", "at")), strict=True):
+            x = np.sort(np.array(at, np.int64))
+            new = np.flatnonzero(np.diff(x) > 1)
+            for a, e in zip(x[np.append(0, new + 1)].tolist(), (x[np.append(new, len(x) - 1)] + 1).tolist(), strict=True):
+                for c, v in zip(cols, (anchor, digest, a, e), strict=True):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "digest", "a", "b"])
+
+
+def _spread(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    """Ranges of repeated starts of groups of any size: their windows are dealt by digest, so no group meets in one task."""
+    each = materialize(spark, chunks.mapInArrow(_windows, "g long, anchor long, digest long, at int, w binary"), "suffix-windows")
+    twice = each.groupBy("g", "w").count().where("count > 1").select("g", "w")
+    starts = each.join(twice, ["g", "w"], "left_semi").groupBy("anchor", "digest", F.floor(F.col("at") / STARTS)).agg(F.collect_list("at").alias("at"))
+    return starts.select("anchor", "digest", "at").mapInArrow(_joined, _RANGES)
+
+
 def covered(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """rid, doc_id, bytes, and starts and stops of the covered ranges (they may touch or overlap; null where there is none)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -255,14 +292,23 @@ def covered(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     for seed in range(1, ROUNDS + 1):
         if crowded.isEmpty():
             break
-        cut = crowded.mapInArrow(_recut(seed), "g long, anchor long, digest long, base int, chunk binary")
-        cut = materialize(spark, cut, "suffix-cut")
-        sizes = cut.groupBy("g").agg(F.count("*").alias("k"), F.sum(F.length("chunk")).alias("size"), F.max(F.length("chunk")).alias("longest"))
-        # One chunk alone is only compared with itself where it is long enough for that.
-        cut = cut.join(sizes.where(f"k > 1 or longest > {LENGTH}"), "g")
-        last = seed == ROUNDS
-        found = found.union(_found(cut if last else cut.where(F.col("size") <= GROUP_BYTES), parts))
-        crowded = cut.where(F.col("size") > GROUP_BYTES).select("g", "anchor", "digest", "base", "chunk")
+        cut = materialize(spark, crowded.mapInArrow(_recut(seed), "g long, anchor long, digest long, base int, piece long, chunk binary"), "suffix-cut")
+        # Equal pieces of a group cover each other whole and go on as one, as the chunks did.
+        pieces = cut.groupBy("g", "piece").agg(F.count("*").alias("times"), F.min(F.struct("anchor", "digest", "base", "chunk")).alias("c"))
+        pieces = materialize(spark, pieces.select("g", "piece", "times", "c.*"), "suffix-pieces")
+        starts = (F.length("chunk") - (LENGTH - 1)).alias("n")
+        twice = cut.select("g", "piece", "anchor", "digest", "base", starts).join(pieces.where("times > 1").select("g", "piece"), ["g", "piece"], "left_semi")
+        found = found.union(twice.select("anchor", "digest", F.col("base").alias("a"), (F.col("base") + F.col("n")).alias("b")))
+        # One piece alone is only compared with itself, where it is long enough for that and not covered already.
+        sizes = pieces.groupBy("g").agg(F.count("*").alias("k"), F.sum(F.length("chunk")).alias("size"), F.max(F.when(F.col("times") == 1, F.length("chunk"))).alias("longest"))
+        sizes = materialize(spark, sizes.where(f"k > 1 or longest > {LENGTH}"), "suffix-sizes")
+        # At most one for each GROUP_BYTES of text, so they are broadcast and a crowded group is never gathered.
+        large = F.broadcast(sizes.where(F.col("size") > GROUP_BYTES).select("g"))
+        crowded = pieces.join(large, "g", "left_semi")
+        small = pieces.join(large, "g", "left_anti").join(sizes.where(F.col("size") <= GROUP_BYTES).select("g"), "g", "left_semi")
+        found = found.union(_found(small, parts))
+    if not crowded.isEmpty():
+        found = found.union(_spread(spark, crowded))
     found = materialize(spark, found.union(_found(parted.where(F.col("size") <= GROUP_BYTES), parts)), "suffix-found")
     ranges = each.select("rid", "anchor", "digest", "start").join(found, ["anchor", "digest"])
     per = ranges.groupBy("rid").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + LENGTH - 1).alias("b"))).alias("r"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tenderline.llm import components, exact_dedup, jaccard_join, queries, suffix_dedup
 from tenderline.llm.common import table
@@ -171,6 +172,29 @@ def test_suffix(spark, monkeypatch, crowded):
     assert all(len(r.kept) == r.n_bytes - r.n_removed and len(r.starts) == r.n_spans for r in whole)
 
 
+def test_suffix_hot_passage(spark, monkeypatch):
+    """One passage in many surroundings: no group of several chunks beyond GROUP_BYTES goes to one task, and the result is whole."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 4000)
+    sizes, found = [], suffix_dedup._found
+
+    def watched(chunks, parts):
+        sizes.extend(r.s for r in chunks.groupBy("g").agg(F.sum(F.length("chunk")).alias("s"), F.count("*").alias("k")).where("k > 1").collect())
+        return found(chunks, parts)
+
+    monkeypatch.setattr(suffix_dedup, "_found", watched)
+    random.seed(5)
+    p = cases.words(200, 78)[:600]
+    junk = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    fronts = [junk(300) for _ in range(60)]
+    rows = [(n, fronts[n] + p + junk(300)) for n in range(60)]
+    # Some share a part of their surroundings with another, so windows across the border repeat too.
+    rows += [(60 + n, junk(50) + fronts[n][200:] + p + junk(40)) for n in range(8)] + [(70, "ab" * 3000), (71, junk(7) * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(spark, docs, whole=False).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == suffix_brute(rows)
+    assert max(sizes) <= 4000
+
+
 def test_suffix_query(spark, sf_dir):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.queries()["op10_suffix_dedup"](spark, sf_dir).collect())
     names, rows = duck("SELECT doc_id, text FROM documents", sf_dir)

@@ -24,6 +24,7 @@ are not read.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 import zlib
 from collections import Counter
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, materialize, raw_texts
+from .common import blocks, bounded_sample, fold, materialize, raw_texts
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 1 << 20
@@ -52,9 +53,10 @@ OWN_SYMBOLS, HASHED_SYMBOLS = 1024, 256
 CLASSES, SLOTS = 33, 32
 WIDTH, HIDDEN = 32, 32
 WINDOW, CONTEXT = 32, 8
-#: Learning rows of the start, at most; its steps and passes over these rows, at most; windows a step.
-SAMPLE, STEPS, PASSES, BATCH, RATE = 2000, 4000, 7, 64, 1e-2
-TASK_RATE = 1e-3
+#: Learning rows of the start and bytes of their text, at most; its steps and passes over these rows, at most; windows a step.
+SAMPLE, SAMPLE_BYTES, STEPS, PASSES, BATCH, RATE = 2000, 64 << 20, 4000, 7, 64, 1e-2
+#: Windows a step, and rate, of the pass over all learning rows.
+TASK_BATCH, TASK_RATE = 256, 1e-3
 FIXED = 1 << 20
 
 
@@ -65,6 +67,7 @@ def default_path() -> str:
 
 
 _ENCODERS: dict = {}
+_BEGINS: dict = {}
 
 
 def encoder(path: str | None = None):
@@ -81,11 +84,32 @@ def encoder(path: str | None = None):
 
 def begins_word(path: str | None = None) -> np.ndarray:
     """Of each id, whether it starts with the space that precedes a word."""
-    encoder(path)
-    out = np.zeros(VOCABULARY, bool)
-    for token, i in _ENCODERS[path or default_path()][1].items():
-        out[i] = token[:1] == b" "
-    return out
+    path = path or default_path()
+    if path not in _BEGINS:
+        encoder(path)
+        out = np.zeros(VOCABULARY, bool)
+        for token, i in _ENCODERS[path][1].items():
+            out[i] = token[:1] == b" "
+        _BEGINS[path] = out
+    return _BEGINS[path]
+
+
+#: White space of other kinds than a plain space: the pattern that cuts texts before the merges would join neighbours there.
+_OTHER_SPACE = re.compile(r"[^\S ]")
+
+
+def spelled_words(path: str | None, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, each with a space before it; how many each has). No word's ids depend on its neighbours."""
+    text = (b" " + b" ".join(words)).decode("utf-8", "replace")
+    enc = encoder(path)
+    if not _OTHER_SPACE.search(text):
+        # All together is faster; the ids that begin with a space part the words again, as no id has one inside here.
+        ids = np.asarray(enc.encode_ordinary(text), np.int32)
+        each = np.diff(np.append(np.flatnonzero(begins_word(path)[ids]), len(ids)))
+        if len(each) == len(words):
+            return ids, each
+    made = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+    return np.fromiter(chain.from_iterable(made), np.int32), np.fromiter(map(len, made), np.int64, len(made))
 
 
 def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
@@ -103,7 +127,7 @@ class Lexicon:
     """
 
     def __init__(self, path: str | None, first: list[bytes] = ()):
-        self.enc, self.starts = encoder(path), begins_word(path)
+        self.path = path
         self.first = len(first)
         self.number: dict[bytes, int] = {}
         self.names: list[bytes] = []
@@ -114,13 +138,11 @@ class Lexicon:
     def add(self, words: list[bytes]) -> None:
         if not words:
             return
-        # The ids that begin with a space part the words again.
-        ids = np.asarray(self.enc.encode_ordinary((b" " + b" ".join(words)).decode()), np.int32)
-        at = np.flatnonzero(self.starts[ids])
+        ids, each = spelled_words(self.path, words)
         n = len(self.names)
         self.number.update(zip(words, range(n, n + len(words)), strict=True))
         self.names += words
-        self.begin = _put(self.begin, n, np.append(at, len(ids)) + self.n_ids)
+        self.begin = _put(self.begin, n, np.concatenate([[0], np.cumsum(each)]) + self.n_ids)
         self.ids = _put(self.ids, self.n_ids, ids)
         self.n_ids += len(ids)
 
@@ -234,66 +256,118 @@ _BACK = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _CAUSAL = _BACK >= 0
 
 
-def _softmax(s: np.ndarray) -> np.ndarray:
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    return s
+#: Scores of the network are cut off here, so their exponentials need no shift; sums stay finite.
+MOST = np.float32(40)
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    np.clip(z, -MOST, MOST, out=z)
+    return np.exp(z, out=z)
+
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place, over the last axis."""
+    _exp(z)
+    z /= z @ np.ones((z.shape[-1], 1), z.dtype)
+    return z
 
-def _attend(p: dict, q, k, v):
-    bias = np.where(_CAUSAL, p["near"][np.abs(_BACK)], np.float32(-1e9)).astype(np.float32)
-    a = _softmax(q @ k.transpose(0, 2, 1) + bias)
-    return a, a @ v
+
+def _near(p: dict) -> np.ndarray:
+    """The factor of each position on each other one."""
+    return np.where(_CAUSAL, np.exp(p["near"][np.abs(_BACK)]), 0).astype(p["near"].dtype)
+
+
+#: From so many rows on a symbol's rows are summed by themselves.
+OFTEN = 16
+
+
+def _sums(rows: np.ndarray, sym: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of each symbol below ``n``."""
+    order = np.argsort(sym, kind="stable")
+    sym, rows = sym[order], rows.take(order, 0)
+    head = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
+    count = np.diff(np.append(head, len(sym)))
+    out, ones = np.zeros((n, rows.shape[1]), rows.dtype), np.ones(len(sym), rows.dtype)
+    for h, c in zip(head[count >= OFTEN].tolist(), count[count >= OFTEN].tolist(), strict=True):
+        out[sym[h]] = ones[:c] @ rows[h : h + c]
+    head, count = head[count < OFTEN], count[count < OFTEN]
+    few = rows[head]
+    for k in range(1, OFTEN):
+        more = np.flatnonzero(count > k)
+        few[more] += rows[head[more] + k]
+    out[sym[head]] = few
+    return out
 
 
 def gradient(p: dict, sym: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> tuple[float, dict]:
     """Mean cross-entropy of class (-1: no target) and slot after each position of the windows, and its gradient."""
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    x = p["e"][sym]
-    q, k, v = x @ p["q"] * scale, x @ p["k"], x @ p["v"]
-    a, av = _attend(p, q, k, v)
-    h = x + av
-    pre = h @ p["w1"] + p["b1"]
-    f = np.maximum(pre, 0)
-    g = h + f @ p["w2"]
-    at = np.nonzero(cls >= 0)
-    gs, y, u = g[at], cls[at], slot[at]
-    n, rows = np.float32(max(len(y), 1)), np.arange(len(y))
-    dc = _softmax(gs @ p["c"] + p["cb"])
-    loss = -np.log(dc[rows, y] + 1e-30).sum()
+    e, (n, w) = p["e"], sym.shape
+    kind = e.dtype.type
+    scale = kind(1 / np.sqrt(WIDTH))
+    # Everything before the attention depends on the symbol only.
+    table = np.concatenate([e, e @ p["q"] * scale, e @ p["k"], e @ p["v"]], 1)
+    wide = table.take(sym.ravel(), 0).reshape(n, w, 4 * WIDTH)
+    x, q, k, v = (wide[..., i * WIDTH : (i + 1) * WIDTH] for i in range(4))
+    a = _exp(q @ k.transpose(0, 2, 1))
+    a *= _near(p)
+    a /= a @ np.ones((w, 1), a.dtype)
+    h = a @ v
+    h += x
+    h = h.reshape(-1, WIDTH)
+    f = h @ p["w1"]
+    f += p["b1"]
+    np.maximum(f, 0, out=f)
+    g = f @ p["w2"]
+    g += h
+    # Targets sorted by class, so that each class's slots are one product.
+    order = np.argsort(cls.ravel(), kind="stable")
+    order = order[np.count_nonzero(cls < 0) :]
+    gs, y, u = g.take(order, 0), cls.ravel()[order], slot.ravel()[order]
+    m, rows = kind(max(len(y), 1)), np.arange(len(y))
+    dc = gs @ p["c"]
+    dc += p["cb"]
+    _softmax(dc)
+    loss = -np.log(dc[rows, y] + kind(1e-30)).sum()
     dc[rows, y] -= 1
-    dc /= n
+    dc /= m
     d = {"c": gs.T @ dc, "cb": dc.sum(0), "s": np.zeros_like(p["s"]), "sb": np.zeros_like(p["sb"])}
     back = dc @ p["c"].T
-    for c in np.unique(y):  # the slots of one class at a time
-        mine = np.flatnonzero(y == c)
-        ds = _softmax(gs[mine] @ p["s"][c] + p["sb"][c])
-        loss -= np.log(ds[np.arange(len(mine)), u[mine]] + 1e-30).sum()
-        ds[np.arange(len(mine)), u[mine]] -= 1
-        ds /= n
-        d["s"][c], d["sb"][c] = gs[mine].T @ ds, ds.sum(0)
-        back[mine] += ds @ p["s"][c].T
-    loss /= n
+    begin = np.searchsorted(y, np.arange(CLASSES + 1)).tolist()
+    parts = [(c, slice(begin[c], begin[c + 1])) for c in range(CLASSES) if begin[c] < begin[c + 1]]
+    ds = np.empty((len(y), SLOTS), gs.dtype)
+    for c, i in parts:
+        np.matmul(gs[i], p["s"][c], out=ds[i])
+        ds[i] += p["sb"][c]
+    _softmax(ds)
+    loss -= np.log(ds[rows, u] + kind(1e-30)).sum()
+    ds[rows, u] -= 1
+    ds /= m
+    for c, i in parts:
+        d["s"][c], d["sb"][c] = gs[i].T @ ds[i], ds[i].sum(0)
+        back[i] += ds[i] @ p["s"][c].T
     dg = np.zeros_like(g)
-    dg[at] = back
-    flat = lambda z: z.reshape(-1, z.shape[-1])
-    d["w2"] = flat(f).T @ flat(dg)
-    df = (dg @ p["w2"].T) * (pre > 0)
-    d["w1"], d["b1"] = flat(h).T @ flat(df), flat(df).sum(0)
-    dh = dg + df @ p["w1"].T
-    dv = a.transpose(0, 2, 1) @ dh
+    dg[order] = back
+    d["w2"] = f.T @ dg
+    df = dg @ p["w2"].T
+    df *= f > 0
+    d["w1"], d["b1"] = h.T @ df, df.sum(0)
+    dh = df @ p["w1"].T
+    dh += dg
+    dh = dh.reshape(n, w, WIDTH)
     da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    d["near"] = np.bincount(_BACK[_CAUSAL], ds.sum(0)[_CAUSAL], WINDOW).astype(np.float32)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    d["q"], d["k"], d["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    used, place = np.unique(sym, return_inverse=True)
-    order = np.argsort(place.ravel(), kind="stable")
-    begin = np.searchsorted(place.ravel()[order], np.arange(len(used)))
-    d["e"] = (used, np.add.reduceat(flat(dx)[order], begin, axis=0))
-    return float(loss), d
+    da -= np.einsum("nij,nij->ni", da, a)[..., None]
+    da *= a
+    d["near"] = np.bincount(_BACK[_CAUSAL], da.sum(0)[_CAUSAL], WINDOW).astype(da.dtype)
+    by = np.empty((n, w, 4 * WIDTH), da.dtype)
+    by[..., :WIDTH] = dh
+    np.matmul(da, k, out=by[..., WIDTH : 2 * WIDTH])
+    np.matmul(da.transpose(0, 2, 1), q, out=by[..., 2 * WIDTH : 3 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dh, out=by[..., 3 * WIDTH :])
+    dx, dq, dk, dv = np.split(_sums(by.reshape(-1, 4 * WIDTH), sym.ravel(), len(e)), 4, axis=1)
+    dq = dq * scale
+    d["q"], d["k"], d["v"] = e.T @ dq, e.T @ dk, e.T @ dv
+    d["e"] = dx + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    return float(loss / m), d
 
 
 class Adam:
@@ -303,19 +377,19 @@ class Adam:
 
     def step(self, d: dict, rate: float) -> None:
         self.t += 1
+        c = rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
         for k, g in d.items():
-            at = slice(None)
-            if isinstance(g, tuple):
-                at, g = g
-            m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * g
-            s = self.s[k][at] = 0.99 * self.s[k][at] + 0.01 * g * g
-            c = rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-            self.p[k][at] -= (c * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
-
-
-def windows(ids: list[np.ndarray], coding: Coding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, targets, texts): windows over the texts' ids. Targets are ids, -1 where the window before has scored it or the text is over."""
-    stride = WINDOW - CONTEXT
+            m, s = self.m[k], self.s[k]
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.99
+            s += 0.01 * g * g
+            self.p[k] -= c * m / (np.sqrt(s) + 1e-8)
+
+
+def windows(ids: list[np.ndarray], coding: Coding, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, targets, texts): windows over the texts' ids that overlap by ``context``. Targets are ids, -1 where the window before has scored it or the text is over."""
+    stride = WINDOW - context
     n = np.array([len(x) for x in ids])
     count = 1 + np.maximum(0, -(-(n - WINDOW) // stride))
     text = np.repeat(np.arange(len(n)), count)
@@ -325,14 +399,14 @@ def windows(ids: list[np.ndarray], coding: Coding) -> tuple[np.ndarray, np.ndarr
     pos = w[:, None] * stride + np.arange(WINDOW)[None, :]
     inside = pos < n[text][:, None]
     at = np.where(inside, base[text][:, None] + pos, 0)
-    target = np.where(inside & ((w == 0)[:, None] | (np.arange(WINDOW) >= CONTEXT)[None, :]), flat[at], -1)
+    target = np.where(inside & ((w == 0)[:, None] | (np.arange(WINDOW) >= context)[None, :]), flat[at], -1)
     sym = np.where(inside & (pos > 0), coding.symbol[flat[np.maximum(at - 1, 0)]], coding.begin)
     return sym, target, text
 
 
 def coded(target: np.ndarray, coding: Coding) -> tuple[np.ndarray, np.ndarray]:
     ids = np.maximum(target, 0)
-    return np.where(target >= 0, coding.klass[ids], -1), coding.slot[ids]
+    return np.where(target >= 0, coding.klass[ids], np.int16(-1)), coding.slot[ids]
 
 
 def train(p: dict, sym: np.ndarray, target: np.ndarray, coding: Coding, steps: int, rate: float, seed: int) -> float:
@@ -345,8 +419,6 @@ def train(p: dict, sym: np.ndarray, target: np.ndarray, coding: Coding, steps: i
     return loss
 
 
-#: Scores of the network are cut off here, so their exponentials need no shift; sums stay finite.
-MOST = np.float32(40)
 #: Windows that are scored at a time: few enough to stay in a core's cache.
 CHUNK = 256
 
@@ -365,19 +437,18 @@ def score(p: dict, coding: Coding, ids: list[np.ndarray]) -> np.ndarray:
     e = p["e"]
     eq, ek = e @ p["q"] * scale, e @ p["k"]
     ev = np.concatenate([e @ p["v"], np.ones((len(e), 1), np.float32)], 1)  # the last column sums the attention
-    near = np.where(_CAUSAL, np.exp(p["near"][np.abs(_BACK)]), np.float32(0))
+    near = _near(p)
     sym, target, text = windows(ids, coding)
     out = np.zeros(len(ids))
     for at in range(0, len(sym), CHUNK):
         s, y = sym[at : at + CHUNK], target[at : at + CHUNK]
-        a = eq[s] @ ek[s].transpose(0, 2, 1)
-        np.clip(a, -MOST, MOST, out=a)
-        np.exp(a, out=a)
+        a = _exp(eq.take(s, 0) @ ek.take(s, 0).transpose(0, 2, 1))
         a *= near
-        av = a @ ev[s]
+        av = a @ ev.take(s, 0)
         some = y >= 0
         y, av, row = y[some], av[some], np.nonzero(some)[0]
-        h = e[s[some]] + av[:, :-1] / av[:, -1:]
+        h = av[:, :-1] / av[:, -1:]
+        h += e.take(s[some], 0)
         g = h @ p["w1"]
         g += p["b1"]
         np.maximum(g, 0, out=g)
@@ -428,12 +499,10 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _id_counts(path):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, starts, total = encoder(path), begins_word(path), np.zeros(VOCABULARY, np.int64)
+        total = np.zeros(VOCABULARY, np.int64)
         for b in batches:
-            words, n = b.column("word").to_pylist(), b.column("n").to_pylist()
-            ids = np.asarray(enc.encode_ordinary((b" " + b" ".join(words)).decode()), np.int64)
-            each = np.diff(np.append(np.flatnonzero(starts[ids]), len(ids)))
-            total += np.bincount(ids, np.repeat(n, each), VOCABULARY).astype(np.int64)
+            ids, each = spelled_words(path, b.column("word").to_pylist())
+            np.add.at(total, ids, np.repeat(b.column("n").to_numpy(), each))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -472,10 +541,8 @@ def learn(spark: SparkSession, docs: DataFrame, path: str | None = None) -> tupl
         tally[r["id"]] = r["n"]
     tally[END] = ends
     learning = rows.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    ids = learning.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
-    wanted = spark.createDataFrame([(i,) for i in {r["doc_id"] for r in ids}], "doc_id long")
-    texts = sorted((r["doc_id"], (r["text"] or "").encode()) for r in learning.join(F.broadcast(wanted), "doc_id").collect())
-    sample = Lexicon(path)([t.lower().split() for _, t in texts])
+    texts = [(r["text"] or "").encode() for r in bounded_sample(spark, learning, SAMPLE, SAMPLE_BYTES)]
+    sample = Lexicon(path)([t.lower().split() for t in texts])
     coding, weights = Coding(tally, begins_word(path), sample), init()
     if texts:
         sym, target, _ = windows(sample, coding)
@@ -494,12 +561,13 @@ def _average(spark: SparkSession, learning: DataFrame, weights: dict, coding: Co
         own = {k: v.copy() for k, v in first.items()}
         ids, n, adam = Lexicon(path), 0, None
         for b in blocks(batches, "text", BLOCK_BYTES):
-            sym, target, _ = windows(ids([t.lower().split() for t in raw_texts(b)]), code)
+            # Every id is a target once; no overlap is needed to learn from.
+            sym, target, _ = windows(ids([t.lower().split() for t in raw_texts(b)]), code, 0)
             cls, slot = coded(target, code)
             order = np.random.default_rng(TaskContext.get().partitionId() + n).permutation(len(sym))
             adam = adam or Adam(own)
-            for at in range(0, len(order), BATCH):
-                some = order[at : at + BATCH]
+            for at in range(0, len(order), TASK_BATCH):
+                some = order[at : at + TASK_BATCH]
                 adam.step(gradient(own, sym[some], cls[some], slot[some])[1], TASK_RATE)
             n += len(sym)
         if n:

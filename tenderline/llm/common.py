@@ -6,13 +6,14 @@ import contextlib
 import tempfile
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and TAB to CR.
@@ -95,6 +96,34 @@ def py_fold(doc_id: int | None, parts: int) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % parts
 
 
+def bounded_sample(spark: SparkSession, rows: DataFrame, most: int, most_bytes: int, kind: str | None = None, each: int | None = None) -> list[Row]:
+    """At most ``most`` rows of ``rows`` (doc_id, text and perhaps a column ``kind``), those with the least hash of their id.
+
+    With ``kind`` its values take turns, so a rare one is not crowded out, and none gets more than ``each``. Rows whose text no
+    longer fits into ``most_bytes`` are passed over. Equal rows come to the driver once and are repeated there; their order is by id
+    and text.
+    """
+    keys = ["doc_id", "_h", *([kind] if kind else [])]
+    hashed = rows.withColumn("_h", F.xxhash64("text"))
+    meta = hashed.select(*keys, F.coalesce(F.octet_length("text"), F.lit(0)).alias("_n"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_h")]
+    if kind:  # a task hands on its first rows of each kind only
+        turn = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
+        meta = meta.withColumn("_k", turn).where(F.col("_k") <= (each or most))
+        order = [F.col("_k"), *order, F.col(kind)]
+    wanted, room = Counter(), most_bytes
+    for r in meta.orderBy(*order).limit(most).collect():
+        if r["_n"] <= room:
+            room -= r["_n"]
+            wanted[tuple(r[k] for k in keys)] += 1
+    if not wanted:
+        return []
+    listed = spark.createDataFrame(list(wanted), rows.select("doc_id", F.lit(0).cast("long").alias("_h"), *keys[2:]).schema)
+    found = hashed.join(F.broadcast(listed), keys, "left_semi").dropDuplicates(keys).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["text"] or "", str(r[kind]) if kind else ""))
+    return [r for r in found for _ in range(wanted[tuple(r[k] for k in keys)])]
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,8 @@ hashed lexicon; all are hashed into one table of weights for each language. Tran
 spliced from several texts among the learning sequences so that switches occur. Forward-backward gives each word's
 distribution; their mean by word length is the text's, its largest share the score.
 
-The field learns from at most ``SAMPLE`` texts with a language, those with the least hash of their id, whole texts.
+The field learns from at most ``SAMPLE`` whole texts with a language, together at most ``SAMPLE_BYTES``: the languages take
+turns, each with the texts of the least hash of their id, so a rare language is learned too.
 Languages, sources and ids are no features.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; without a row to learn from every other
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import blocks, fold, lookup, word_hashes
+from .common import blocks, bounded_sample, fold, lookup, word_hashes
 
-SAMPLE = 1500
+SAMPLE, SAMPLE_BYTES = 1500, 64 << 20
 FOLDS, HELD_OUT = 3, 1
 BLOCK_BYTES = 2 << 20
 #: Rows of the table of weights, a power of two.
@@ -168,12 +169,10 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def learn(spark: SparkSession, docs: DataFrame, most: int = SAMPLE) -> Model:
-    can = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    ids = can.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most).select("doc_id").collect()
-    wanted = spark.createDataFrame([(i,) for i in {r["doc_id"] for r in ids}], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null").join(F.broadcast(wanted), "doc_id")
-    rows = sorted((r["doc_id"], r["text"] or "", r["lang"]) for r in rows.collect())
-    return fit([t for _, t, _ in rows], [x for _, _, x in rows])
+    can = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    can = can.where("doc_id is not null and lang is not null").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    rows = bounded_sample(spark, can, most, SAMPLE_BYTES, "lang")
+    return fit([r["text"] or "" for r in rows], [r["lang"] for r in rows])
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

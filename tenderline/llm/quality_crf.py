@@ -5,8 +5,8 @@ whether it repeats an earlier line; each line also sees those of its neighbours.
 line; their mean by length is the text's quality, which a logistic curve fitted on the same learning rows turns into
 a probability. Lines learn the label of their text.
 
-The field learns from at most ``SAMPLE`` labelled texts of either kind, those with the least hash of their id; of them
-whole texts are used. Labels, languages, sources and ids are no features.
+The field learns from at most ``SAMPLE`` labelled texts of either kind, those with the least hash of their id, together at
+most ``SAMPLE_BYTES``; of them whole texts are used. Labels, languages, sources and ids are no features.
 
 Defined results: null text is empty; an empty text is one empty line, and scored as such; texts with equal bytes have
 equal scores; a null id is never learned from and not held out; ids with both labels count as bad; without learnable labels of
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import IS_POINT, IS_SPACE, blocks, fold, lookup, mix, raw_texts, word_hashes
+from .common import IS_POINT, IS_SPACE, blocks, bounded_sample, fold, lookup, mix, raw_texts, word_hashes
 
-#: Labelled texts of either kind to learn from, at most.
-SAMPLE = 1500
+#: Labelled texts of either kind to learn from, at most, and bytes of all.
+SAMPLE, SAMPLE_BYTES = 1500, 64 << 20
 FOLDS, HELD_OUT = 3, 1
 BLOCK_BYTES = 2 << 20
 EPOCHS, BATCH, RATE, DECAY = 25, 64, 0.2, 1e-5
@@ -163,12 +163,10 @@ def learnable_share(labels: DataFrame) -> float:
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
-    kinds = learnable(labels)
-    ids = spark.createDataFrame([(i,) for i in kinds], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").collect()
-    rows = sorted(((r["doc_id"], (r["text"] or "").encode()) for r in rows))
-    share = learnable_share(labels)
-    return fit([t for _, t in rows], [kinds[i] for i, _ in rows], share)
+    ids = spark.createDataFrame(list(learnable(labels).items()), "doc_id long, quality int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    found = bounded_sample(spark, rows, 2 * SAMPLE, SAMPLE_BYTES, "quality", SAMPLE)
+    return fit([(r["text"] or "").encode() for r in found], [r["quality"] for r in found], learnable_share(labels))
 
 
 def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

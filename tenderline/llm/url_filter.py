@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, parallelism
 
 #: (host, path, verdict). A rule's string is host and path.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -53,12 +53,12 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _strings(urls: DataFrame) -> DataFrame:
-    """url, g: the ORDER + 1 characters that end at each character of a URL and at its end."""
+    """uid, verdict, n, g: the ORDER + 1 characters that end at each character of a URL and at its end."""
     at = F.locate("://", F.col("url"))
     body = F.lower(F.when(at > 0, F.substring(F.col("url"), at + 3, F.length("url"))).otherwise(F.col("url")))
     padded = F.concat(F.lit(PAD * ORDER), body, F.lit(END))
     grams = F.transform(F.sequence(F.lit(1), F.length("body") - ORDER), lambda i: F.substring(F.col("body"), i, ORDER + 1))
-    return urls.withColumn("body", padded).select("url", "verdict", "n", F.explode(grams).alias("g"))
+    return urls.withColumn("body", padded).select("uid", "verdict", "n", F.explode(grams).alias("g"))
 
 
 def model(strings: DataFrame) -> DataFrame:
@@ -90,16 +90,18 @@ def judge(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url:
     rule, by_rule = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("by_rule", by_rule)
     urls = rows.where("url != ''").groupBy("url").agg(F.first("by_rule").alias("verdict"), F.count("*").alias("n"))
-    strings = materialize(spark, _strings(urls), "url-strings")
+    # The strings multiply the rows, so the URLs are dealt out first, whatever their bytes; their number stands for them from here on.
+    urls = materialize(spark, urls.repartition(parallelism(spark)).withColumn("uid", F.monotonically_increasing_id()), "urls")
+    strings = _strings(urls)
     # With one kind of label only there is nothing to compare.
-    kinds = {r[0] for r in strings.where("verdict is not null").groupBy("verdict").count().collect()}
+    kinds = {r[0] for r in urls.where("verdict is not null").groupBy("verdict").count().collect()}
     ratios = materialize(spark, model(strings), "url-model")
     if len(kinds) < 2:
         ratios = ratios.withColumn("llr", F.lit(0).cast("long"))
     if ratios.count() <= BROADCAST_ROWS:
         ratios = F.broadcast(ratios)
-    scores = strings.join(ratios, "g").groupBy("url").agg(F.first("verdict").alias("verdict"), F.first("n").alias("n"), (F.sum("llr").cast("double") / F.count("*") / UNIT).alias("score"))
-    scores = materialize(spark, scores, "url-scores")
+    scores = strings.join(ratios, "g").groupBy("uid").agg((F.sum("llr").cast("double") / F.count("*") / UNIT).alias("score"))
+    scores = materialize(spark, urls.join(scores, "uid").select("url", "verdict", "n", "score"), "url-scores")
     limit = calibrate(scores)
     out = rows.join(scores.select("url", "score"), "url", "left")
     verdict = F.when(F.col("by_rule").isNotNull(), F.col("by_rule")).when(F.col("score") < limit, "block").otherwise("allow")
@@ -113,7 +115,7 @@ def calibrate(scores: DataFrame) -> float:
     before, everything = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     part = lambda v: F.sum(v).over(everything)
     below = lambda v: F.coalesce(F.sum(v).over(before), F.lit(0))
-    bins = bins.withColumn("good", below("block") / part("block") - below("allow") / part("allow"))
+    bins = bins.withColumn("good", F.try_divide(below("block"), part("block")) - F.try_divide(below("allow"), part("allow")))
     best = bins.orderBy(F.col("good").desc_nulls_last(), "b").first()
     return best["b"] * BIN if best and best["good"] is not None else -float(RANGE)
 
@@ -140,15 +142,14 @@ e AS (SELECT url, v, n, body, unnest(generate_series(1, length(body) - {ORDER}))
 s AS (SELECT url, v, n, substr(body, i, {ORDER + 1}) AS g FROM e),
 f AS (SELECT g, coalesce(sum(n) FILTER (v = 'allow'), 0) AS a, coalesce(sum(n) FILTER (v = 'block'), 0) AS r FROM s GROUP BY g),
 {", ".join(levels)},
-m AS (SELECT g, round(ln(pa / pr) * {UNIT})::BIGINT AS llr FROM l{ORDER}),
+m AS (SELECT g, CASE WHEN (SELECT count(DISTINCT v) FROM urls) = 2 THEN round(ln(pa / pr) * {UNIT})::BIGINT ELSE 0 END AS llr FROM l{ORDER}),
 sc AS (SELECT url, any_value(v) AS v, any_value(n) AS n, sum(llr)::DOUBLE / count(*) / {UNIT} AS score FROM s JOIN m USING (g) GROUP BY url),
 bins AS (SELECT least(greatest(floor(score / {BIN}::DOUBLE), -{bound}), {bound})::BIGINT AS b, coalesce(sum(n) FILTER (v = 'allow'), 0)::BIGINT AS a, coalesce(sum(n) FILTER (v = 'block'), 0)::BIGINT AS r FROM sc WHERE v IS NOT NULL GROUP BY 1),
-good AS (SELECT b, coalesce(sum(r) OVER w, 0)::DOUBLE / (sum(r) OVER ()) - coalesce(sum(a) OVER w, 0)::DOUBLE / (sum(a) OVER ()) AS good FROM bins WINDOW w AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cut AS (SELECT b * {BIN}::DOUBLE AS cut FROM good ORDER BY good DESC, b LIMIT 1)
+good AS (SELECT b, coalesce(sum(r) OVER w, 0)::DOUBLE / nullif(sum(r) OVER (), 0) - coalesce(sum(a) OVER w, 0)::DOUBLE / nullif(sum(a) OVER (), 0) AS good FROM bins WINDOW w AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT CASE WHEN good IS NULL THEN -{RANGE}::DOUBLE ELSE b * {BIN}::DOUBLE END AS cut FROM good ORDER BY good DESC NULLS LAST, b LIMIT 1)
 SELECT page_id, host, path, rule, CASE WHEN by_rule IS NOT NULL THEN by_rule WHEN score < (SELECT cut FROM cut) THEN 'block' ELSE 'allow' END AS verdict, score
 FROM x LEFT JOIN sc USING (url)
 """
 
 
-#: With both kinds of labelled URLs in the table.
 SQL = _sql()

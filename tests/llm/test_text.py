@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tenderline.llm import attention_lm, bpe, crf, language_crf, mixing, quality_crf, quality_rules, queries, url_filter
 from tenderline.llm.common import table
 
-from ..compare import same
+from ..compare import duck, normal, same
 from . import cases
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,6 +239,69 @@ def test_lm_is_a_distribution():
     assert abs(total / 10 ** attention_lm.score(p, code, [one])[0] - 1) < 1e-3
 
 
+def unicode_space_rows():
+    r = np.random.default_rng(4)
+    parts = ["\u00a0", "\u00a0\u00a0", "\u3000", "\u0085", "\u2028", "\x1c", "a", "five", "hello", "'s", "é", "\u00a0x", "y\u00a0", "\u200b", "漢", "12", "\u00a0\u3000b"]
+    return [(i, " ".join("".join(r.choice(parts, r.integers(1, 4))) for _ in range(r.integers(1, 40)))) for i in range(60)] + [(99, "\u00a0 \u00a0 hello five \u00a0 \u00a0")]
+
+
+def test_lm_words_do_not_depend_on_neighbours():
+    enc = attention_lm.encoder()
+    words = list(dict.fromkeys(w for _, t in unicode_space_rows() for w in t.encode().split()))
+    alone = [enc.encode_ordinary(" " + w.decode()) for w in words]
+    for some, want in ((words, alone), ([w for w in words if w.isascii()], [x for w, x in zip(words, alone, strict=True) if w.isascii()])):
+        ids, each = attention_lm.spelled_words(None, some)
+        assert each.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    lex = attention_lm.Lexicon(None)
+    got = lex([t.encode().split() for _, t in unicode_space_rows()])
+    assert [x.tolist() for x in got] == [[i for w in t.encode().split() for i in enc.encode_ordinary(" " + w.decode())] + [attention_lm.END] for _, t in unicode_space_rows()]
+
+
+def test_lm_unicode_space_end_to_end(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "STEPS", 20)
+    rows = unicode_space_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = attention_lm.scored(spark, docs, *attention_lm.learn(spark, docs)).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == lm_brute(rows)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def plain_score(p, code, ids):
+    """log10 probability, one position after the other, straight from the definition."""
+    n, total, stride = len(ids), 0.0, attention_lm.WINDOW - attention_lm.CONTEXT
+    e = {k: v.astype(np.float64) for k, v in p.items()}
+    starts = [0]
+    while starts[-1] + attention_lm.WINDOW < n:
+        starts.append(starts[-1] + stride)
+    for s in starts:
+        before = [code.begin if j == 0 else int(code.symbol[ids[j - 1]]) for j in range(s, min(s + attention_lm.WINDOW, n))]
+        for i in range(len(before)):
+            if s and i < attention_lm.CONTEXT:
+                continue
+            x = e["e"][before[: i + 1]]
+            w = np.array([(x[i] @ e["q"]) @ (x[j] @ e["k"]) / math.sqrt(attention_lm.WIDTH) + e["near"][i - j] for j in range(i + 1)])
+            w = np.exp(w - w.max())
+            h = x[i] + (w / w.sum()) @ (x @ e["v"])
+            g = h + np.maximum(h @ e["w1"] + e["b1"], 0) @ e["w2"]
+            y = int(ids[s + i])
+            log = lambda z, k: z[k] - z.max() - math.log(np.exp(z - z.max()).sum())
+            c, u = int(code.klass[y]), int(code.slot[y])
+            total += log(g @ e["c"] + e["cb"], c) + log(g @ e["s"][c] + e["sb"][c], u) + code.inside[y]
+    return total / math.log(10)
+
+
+def test_lm_score_against_a_plain_pass():
+    lex = attention_lm.Lexicon(None)
+    ids = lex([cases.words(n, 300 + n).encode().split() for n in (0, 1, 9, 40, 90)])
+    counted = np.bincount(np.concatenate(ids), minlength=attention_lm.VOCABULARY).astype(float)
+    code, p = attention_lm.Coding(counted, attention_lm.begins_word(), ids), attention_lm.init()
+    sym, target, _ = attention_lm.windows(ids, code)
+    attention_lm.train(p, sym, target, code, 40, 1e-2, 5)
+    got = attention_lm.score(p, code, ids)
+    for x, s in zip(ids, got, strict=True):
+        assert abs(plain_score(p, code, x) - s) < 1e-3 * max(1, len(x))
+
+
 def test_lm_windows_score_each_id_once():
     ids = [np.arange(n, dtype=np.int32) for n in (1, 31, 32, 33, 56, 57, 500)]
     code = type("C", (), {"symbol": np.arange(attention_lm.VOCABULARY), "begin": -1})
@@ -255,8 +318,8 @@ def test_lm_gradient():
     sym, cls, slot = rng.integers(0, 50, (3, 32)), rng.integers(-1, 33, (3, 32)), rng.integers(0, 32, (3, 32))
     p = {k: v.astype(np.float64) for k, v in p.items()}
     _, d = attention_lm.gradient(p, sym, cls, slot)
-    for k in ("q", "k", "v", "near", "w1", "b1", "w2", "c", "cb", "s", "sb"):
-        at = tuple(rng.integers(0, n) for n in p[k].shape)
+    for k in ("e", "q", "k", "v", "near", "w1", "b1", "w2", "c", "cb", "s", "sb"):
+        at = tuple(rng.integers(0, n if k != "e" else 50) for n in p[k].shape)
         old, h = p[k][at], 1e-4
         p[k][at] = old + h
         up = attention_lm.gradient(p, sym, cls, slot)[0]
@@ -330,6 +393,16 @@ def test_url_ratio_against_a_plain_model(spark, sf_dir):
         assert abs(want - r.score) < 1e-5
 
 
+@pytest.mark.parametrize("urls", [["http://a.com/x", "http://b.com/", "http://c.org/y"], ["http://a.net/fr/1", "http://b.net/es/", "http://c.org/y"], ["http://c.org/y", "x"]])
+def test_urls_of_one_kind(spark, tmp_path, urls):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, urls[0], "http://c.org/" + "long/" * 5000])], "page_id long, url string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "p"))
+    got = url_filter.judge(spark, pages)
+    assert all(r.verdict == (r.rule and rule_of(urls[r.page_id % len(urls)])[3] or "allow") for r in got.where("page_id < 3").collect())
+    names, rows = duck(url_filter.SQL.replace("FROM pages", f"FROM read_parquet('{tmp_path}/p/*.parquet')"), "/root/testdata/sf0.001")
+    assert normal(got.columns, got.collect()) == normal(names, rows)
+
+
 def test_url_cases(spark):
     rows = [(1, "http://COM/x"), (2, None), (3, ""), (4, "no scheme"), (5, "http://a.com"), (6, "https://m.example.com/en/?q"), (7, "x://www.example.com/en/a#b"), (8, "http://é.net/fr/"), (9, "http://b.net/es"), (None, "http://x.org/a"), (1, "http://COM/x"), (10, "://"), (11, "a://b://c/d")]
     pages = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, host string, n int")

@@ -8,14 +8,16 @@ Two documents link when ``den * |intersection| >= num * |union|`` of their shing
    part that is not empty, made from the part's content, under the size class in which it can be the larger set and under
    the next one; linked sizes never lie further apart. There are some more parts than d + 1, the allowance: a set whose keys
    that others share, together with its empty parts, do not exceed it has d + 1 parts of its own, so it links with nothing
-   and leaves. That is asked again of the sets that remain. (A set with more empty parts than the allowance sends one more
-   key, common to such sets.) So linked sets stay and share a key, and sets that share a passage mostly leave. Rows with
-   equal keys are chained to the first of them.
+   and leaves. That is asked again of the sets that remain. (Two sets that both have more empty parts than the allowance may
+   have no filled part in common; such sets also send the shingles of least hash, so many that linked sets have one of them in common.)
+   So linked sets stay and share a key, and sets that share a passage mostly leave. Rows with equal keys are chained to the first of them.
 3. The chains' components are clusters that no link leaves. In each, a set looks for the earlier (not larger) ones that
-   share at least T shingles with it: the short inverted lists are merged and counted, the L longest (DivideSkip) are probed by
-   binary search for the sets that reached T - L. A cluster of more than ``CLUSTER`` shingles is cut into blocks, and
-   every two blocks meet in a task of their own. Sets whose component is already joined to the asking one need no search, so a task
-   returns a spanning forest of its links.
+   share at least T shingles with it: a heap merges the short inverted lists, skipping ids that too few lists can hold; the L longest
+   (DivideSkip) are probed by binary search for the sets that reached T - L. Sets whose component is already joined to the
+   asking one need no search, so a task returns a spanning forest of its links.
+   A cluster of more than ``CLUSTER`` shingles is cut into blocks that are searched together with one small hub; what the
+   hub joins needs no further search. Keys that sets of different components still share make new, smaller clusters of the rest. Only
+   where one of those is too large again, every two of its blocks meet in a task of their own.
 4. The links' components are the result.
 
 Shingles are 64-bit hashes of their words.
@@ -28,14 +30,16 @@ are carried by position, so clashing names are kept.
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, blocks, col, materialize, mix, pack, parallelism, raw_texts, run_hashes, without, word_hashes, word_spans
@@ -44,6 +48,10 @@ from .components import components
 BLOCK_BYTES = 1 << 20
 #: Shingles of a cluster that one task holds.
 CLUSTER = 1_000_000
+#: The hub is this part of a block.
+HUB = 4
+#: Rows from which a component counts as hot: its rows are not dealt by its name.
+HOT_ROWS = 1000
 #: Weight of a binary probe against a merged entry in the choice of L.
 MU = 0.01
 
@@ -114,9 +122,13 @@ def keys(h: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarra
             out_k.append(mix(total + mix(own[which[at]].astype(np.uint64) << np.uint64(40) | part[at])))
             full = np.bincount(which[at], minlength=len(n))
             allow = slack - (g - full)
+            # Sets with too many empty parts: of n shingles in the order of their hashes, linked sets share one of the first n - T + 1.
             many = np.flatnonzero((n > 0) & (allow < 0))
-            out_k.append(mix(mix(own[many].astype(np.uint64)) + np.uint64(7)))
-            for x in (which[at], many):
+            first = n[many] + num * n[many] // -den + 1
+            few = np.repeat(many, first)
+            place = np.repeat(starts[many], first) + np.arange(len(few)) - np.repeat(np.cumsum(first) - first, first)
+            out_k.append(mix(mix(h[place] + np.uint64(5)) + own[few].astype(np.uint64)))
+            for x in (which[at], few):
                 out_s.append(2 * x + up)
                 out_a.append(allow[x])
     if not out_k:
@@ -180,11 +192,56 @@ def _remaining(spark: SparkSession, shared: DataFrame, rounds: int = 2) -> DataF
     return shared
 
 
+def merged(lists: list[np.ndarray], least: int):
+    """(number, count) of the numbers that at least ``least`` of the rising lists hold, by a heap of the lists' heads.
+
+    Where too few heads are equal, the lists of the ``least`` - 1 smallest heads jump to the next head: no number before it can reach
+    ``least``.
+    """
+    heap = [(int(x[0]), k) for k, x in enumerate(lists) if len(x)]
+    heapq.heapify(heap)
+    at = [0] * len(lists)
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            yield top, len(popped)
+            to = top + 1
+        else:
+            while len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            to = heap[0][0]
+        for k in popped:
+            x = lists[k]
+            if x[at[k]] < to:
+                at[k] = bisect_left(x, to, at[k] + 1)
+            if at[k] < len(x):
+                heapq.heappush(heap, (int(x[at[k]]), k))
+
+
+class Parts:
+    """Which sets are joined; the smaller side is renamed."""
+
+    def __init__(self, n: int):
+        self.of, self.members = np.arange(n), [[k] for k in range(n)]
+
+    def join(self, a: int, b: int) -> None:
+        a, b = int(self.of[a]), int(self.of[b])
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.of[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+
+
 def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets (sorted hashes), by positions. Sizes must rise."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
-    comp = np.arange(m)
+    parts, left = Parts(m), 0  # components among the sets so far
     out: list[tuple[int, int]] = []
     owner = np.repeat(np.arange(m), size)
     flat = np.concatenate(sets) if m else np.zeros(0, np.uint64)
@@ -198,7 +255,8 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     start_of[order] = begin
     before[order] = np.arange(len(flat)) - begin  # sets before this one in the list
     ends = np.cumsum(size)
-    for q in range(1, m):
+    for q in range(m):
+        left += 1
         sl = slice(ends[q] - size[q], ends[q])
         start, length = start_of[sl], before[sl]
         least = -(-num * size[q] // den)  # of a linked set's size, and so of the common shingles
@@ -206,44 +264,47 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
             continue
         low = int(np.searchsorted(size, least))
         by = np.argsort(length, kind="stable")
-        start, length = start[by], length[by]
-        aside = min(least - 1, int(least / (MU * math.log2(max(2, length[-1])) + 1)))  # L
-        cut = len(length) - aside
-        short = [lists[s : s + n] for s, n in zip(start[:cut].tolist(), length[:cut].tolist(), strict=True) if n]
-        if not short:
-            continue
-        merged = np.concatenate(short)
-        count = np.bincount(merged[merged >= low] - low, minlength=q - low) if low < q else np.zeros(0, np.int64)
-        cand = np.flatnonzero(count >= max(1, least - aside))
-        count, cand = count[cand], cand + low
-        long = [lists[s : s + n] for s, n in zip(start[cut:].tolist(), length[cut:].tolist(), strict=True)]
-        some = comp[cand] != comp[q]
-        cand, count = cand[some], count[some]
-        best = np.argsort(-count, kind="stable")
-        cand, count = cand[best], count[best]
-        step = 8
-        while len(cand):
-            now, have = cand[:step], count[:step].copy()
-            rest_c, rest_n = cand[step:], count[step:]
-            step = min(4 * step, 1024)
-            need = -(-num * (size[q] + size[now]) // (num + den))
-            for k, x in enumerate(long):
-                alive = have + len(long) - k >= need
-                if not alive.all():
-                    now, have, need = now[alive], have[alive], need[alive]
-                    if not len(now):
-                        break
-                at = np.searchsorted(x, now)
-                have += x[np.minimum(at, len(x) - 1)] == now if len(x) else 0
-            for c in now[have >= need].tolist():
-                if comp[c] != comp[q]:
-                    out.append((q, c))
-                    comp[comp == comp[c]] = comp[q]
-            some = comp[rest_c] != comp[q]
-            cand, count = rest_c[some], rest_n[some]
+        aside = min(least - 1, int(least / (MU * math.log2(max(2, length[by[-1]])) + 1)))  # L
+        mine = [lists[s : s + n] for s, n in zip(start[by].tolist(), length[by].tolist(), strict=True)]
+        short, long = mine[: len(mine) - aside], mine[len(mine) - aside :]
+        if low:  # too small to link
+            short = [x[np.searchsorted(x, low) :] for x in short]
+        while left > 1:
+            joined = _first_links(merged(short, least - aside), long, size, q, parts, num, den)
+            for c in joined:
+                out.append((q, c))
+                parts.join(q, c)
+                left -= 1
+            if not joined:
+                break
+            # The sets that are joined now leave the lists.
+            short = [x[parts.of[x] != parts.of[q]] for x in short]
     return out
 
 
+def _first_links(found, long: list[np.ndarray], size: np.ndarray, q: int, parts: Parts, num: int, den: int) -> list[int]:
+    """Sets of different components that link with ``q``, from the first candidates in which there is such a set."""
+    step = 8
+    while True:
+        some = [x for _, x in zip(range(step), found, strict=False)]
+        if not some:
+            return []
+        step = min(4 * step, 1024)
+        now, have = np.array(some).T
+        need = -(-num * (size[q] + size[now]) // (num + den))
+        for k, x in enumerate(long):
+            alive = have + len(long) - k >= need
+            if not alive.all():
+                now, have, need = now[alive], have[alive], need[alive]
+                if not len(now):
+                    break
+            at = np.searchsorted(x, now)
+            have = have + (x[np.minimum(at, len(x) - 1)] == now) if len(x) else have
+        linked = {int(parts.of[c]): c for c in now[have >= need].tolist()}
+        if linked:
+            return list(linked.values())
+
+
 def _searched(k: int, num: int, den: int):
     def links(rids: list[int], texts: list[bytes]):
         sets, some, size = [], [], 0
@@ -287,15 +348,25 @@ def grouped(spark: SparkSession, numbered: DataFrame, k: int, num: int, den: int
     parts = parallelism(spark)
     keyed = numbered.where("_rep = _rid and _n > 0").select("_rid", "_text").mapInArrow(_keyed(k, num, den), _KEYED)
     shared = materialize(spark, keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, _KEYED), "shared")
-    shared = _remaining(spark, shared).select("key", F.shiftright("rid", 1).alias("a"))
-    first = shared.groupBy("key").agg(F.min("a").alias("b"))
-    clusters = components(spark, shared.join(first, "key").select("a", "b"))
-    links = _links(spark, numbered, clusters, k, num, den, parts)
+    shared = materialize(spark, _remaining(spark, shared).select("key", F.shiftright("rid", 1).alias("a")), "shared")
+    clusters = _chained(spark, shared)
+    links = _links(spark, numbered, shared, clusters, k, num, den)
     comps = components(spark, links)
     at = numbered.select("_rid", "_rep", "_id").join(comps.select(F.col("v").alias("_rep"), "comp"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))
+    at = materialize(spark, at.select("_rid", "_id", "comp"), "near-rows")
     no_id = F.lit((1 << 63) - 1)
-    least = at.groupBy("comp").agg(F.min(F.struct(F.coalesce("_id", no_id).alias("i"), F.col("_rid").alias("r"), F.col("_id").alias("id"))).alias("k"))
-    return at.join(least, "comp").select("_rid", F.col("k.id").alias("component_id"), (F.col("_rid") == F.col("k.r")).alias("kept"))
+    least = at.groupBy("comp").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("_id", no_id).alias("i"), F.col("_rid").alias("r"), F.col("_id").alias("id"))).alias("k"))
+    least = materialize(spark, least.where("n > 1"), "near-least")  # a row alone needs no look-up
+    # Hot components are at most BROADCAST_ROWS by the choice of the bound, so their rows stay where they are.
+    hot = F.broadcast(least.where(F.col("n") > max(HOT_ROWS, numbered.count() // BROADCAST_ROWS)).drop("n"))
+    out = at.join(hot, "comp").unionByName(at.join(hot.select("comp"), "comp", "left_anti").join(least.drop("n"), "comp", "left"))
+    return out.select("_rid", F.when(F.col("k").isNull(), F.col("_id")).otherwise(F.col("k.id")).alias("component_id"), F.coalesce(F.col("_rid") == F.col("k.r"), F.lit(True)).alias("kept"))
+
+
+def _chained(spark: SparkSession, shared: DataFrame) -> DataFrame:
+    """(v, comp) of the sets that shared keys chain together."""
+    first = shared.groupBy("key").agg(F.min("a").alias("b"))
+    return components(spark, shared.join(first, "key").select("a", "b"))
 
 
 def join(spark: SparkSession, docs: DataFrame, carry: list[str], k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -308,17 +379,44 @@ def join(spark: SparkSession, docs: DataFrame, carry: list[str], k: int = 5, num
     return out.select(*(f"_{i}" for i in range(len(carry))), F.col("_n").alias("n_shingles"), "component_id", "kept")
 
 
-def _links(spark: SparkSession, numbered: DataFrame, clusters: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
+def _sized(spark: SparkSession, sizes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """A written table of the clusters' sets: v, n, comp, blocks. Shingles are summed before the shuffle; only clusters of several blocks are joined back."""
+    members = materialize(spark, sizes.join(clusters, "v"), "members")
+    large = members.groupBy("comp").agg(F.sum("n").alias("total")).where(F.col("total") > CLUSTER)
+    large = materialize(spark, large.select("comp", F.ceil(F.col("total") / CLUSTER).cast("int").alias("blocks")), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    return members.join(large, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def _links(spark: SparkSession, numbered: DataFrame, shared: DataFrame, clusters: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sizes = numbered.where("_rep = _rid and _n > 0").select(F.col("_rid").alias("v"), F.col("_n").alias("n"))
-    members = sizes.join(clusters, "v")
-    members = members.withColumn("blocks", F.ceil(F.sum("n").over(Window.partitionBy("comp")) / CLUSTER).cast("int"))
+    members = _sized(spark, sizes, clusters)
+    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+    # Some sets of a large cluster, a part of a block together, meet all of its blocks.
+    hub = F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks") * HUB) == 0
+    to = F.when((F.col("blocks") > 1) & hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    first = materialize(spark, _found(spark, numbered, members.select("v", F.explode(to).alias("p"), "comp").select("v", F.concat_ws("-", "comp", "p").alias("g")), k, num, den), "links")
+    large = materialize(spark, members.where("blocks > 1").select("v"), "large-sets")
+    if large.isEmpty():
+        return first
+    # What may still link are sets of different components that share a key.
+    joined = components(spark, first)
+    rows = shared.join(large.withColumnRenamed("v", "a"), "a", "left_semi").join(joined.withColumnRenamed("v", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    rows = materialize(spark, rows.select("key", "a", "comp"), "shared")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    again = _sized(spark, sizes, _chained(spark, materialize(spark, rows.join(mixed, "key", "left_semi").select("key", "a"), "shared")))
     # Rows of blocks i <= j meet in the group (comp, i, j).
-    mine = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
-    members = materialize(spark, members.select(F.col("v").alias("_rid"), "n", F.explode(pair).alias("p"), "comp").select("_rid", "n", F.concat_ws("-", "comp", "p.i", "p.j").alias("g")), "clusters")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
+    groups = again.select("v", F.explode(pair).alias("p"), "comp").select("v", F.concat_ws("-", "comp", "p.i", "p.j").alias("g"))
+    return first.union(materialize(spark, _found(spark, numbered, groups, k, num, den), "links"))
+
+
+def _found(spark: SparkSession, numbered: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of the sets that meet in a group (v, g)."""
+    members = materialize(spark, groups.select(F.col("v").alias("_rid"), "g"), "clusters")
     few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     texts = numbered.select("_rid", "_text").join(few, "_rid")
-    dealt = texts.select("g", "_rid", "_text").repartition(parts, "g").sortWithinPartitions("g")
+    dealt = texts.select("g", "_rid", "_text").repartition(parallelism(spark), "g").sortWithinPartitions("g")
     return dealt.mapInArrow(_searched(k, num, den), "a long, b long")
 
 

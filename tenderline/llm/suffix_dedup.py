@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, mix, pack, parallelism, raw_texts
+from .common import BROADCAST_ROWS, blocks, materialize, mix, pack, parallelism, raw_texts
 
 LENGTH, GRAM = 400, 32
 BLOCK_BYTES = 1 << 20
@@ -39,6 +39,8 @@ SORT_BYTES, GROUP_BYTES = 1 << 20, 4 << 20
 ROUNDS = 3
 #: Windows that are digested at a time, and starts of a chunk that are gathered in one row.
 WINDOWS, STARTS = 1 << 16, 4096
+#: Copies from which a chunk counts as hot: its rows are not dealt by its digest.
+HOT_ROWS = 1000
 
 
 def _named(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +312,12 @@ def covered(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     if not crowded.isEmpty():
         found = found.union(_spread(spark, crowded))
     found = materialize(spark, found.union(_found(parted.where(F.col("size") <= GROUP_BYTES), parts)), "suffix-found")
-    ranges = each.select("rid", "anchor", "digest", "start").join(found, ["anchor", "digest"])
+    # A chunk with copies is covered whole. Those with very many are at most BROADCAST_ROWS by the choice of the bound.
+    total = kinds.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    hot = F.broadcast(kinds.where(F.col("times") > max(HOT_ROWS, total // BROADCAST_ROWS)).select("anchor", "digest"))
+    often = each.join(hot, ["anchor", "digest"], "left_semi").select("rid", "anchor", "digest", "start", F.lit(0).alias("a"), F.col("n").alias("b"))
+    rest = each.select("rid", "anchor", "digest", "start").join(hot, ["anchor", "digest"], "left_anti").join(found.join(hot, ["anchor", "digest"], "left_anti"), ["anchor", "digest"])
+    ranges = often.unionByName(rest)
     per = ranges.groupBy("rid").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + LENGTH - 1).alias("b"))).alias("r"))
     return split.select("rid", "doc_id", "bytes").join(per, "rid", "left").select("doc_id", "bytes", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
 
@@ -320,12 +327,11 @@ def _found(chunks: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(_compared, _RANGES)
 
 
-_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_RESULT = _DIGEST + ", kept binary, starts array<long>, stops array<long>"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, stops array<long>, kept binary"
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in (_RESULT if whole else _DIGEST).split(", ")]
+def _cleaned(batches: Iterator[pa.RecordBatch], schema: str) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in schema.split(", ")]
     for b in blocks(batches, "bytes", BLOCK_BYTES):
         cols: list[list] = [[] for _ in range(7)]
         for text, starts, stops in zip(b.column("bytes").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
@@ -336,12 +342,29 @@ def _cleaned(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
                 np.add.at(edge, stops, -1)
                 s, e = (x.tolist() for x in _ranges(np.cumsum(edge[:-1]) > 0))
             kept = b"".join(text[x:y] for x, y in zip([0, *e], [*s, len(text)], strict=True))
-            for c, x in zip(cols, (len(text), len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept, s, e), strict=True):
+            for c, x in zip(cols, (len(text), len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), s, e, kept), strict=True):
                 c.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))][: len(names)], names=names)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``whole``, kept (the bytes that stay), starts and stops of the removed runs."""
-    return covered(spark, docs, doc_id, text).mapInArrow(lambda batches: _cleaned(batches, whole), _RESULT if whole else _DIGEST)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and stops of the removed runs and, if ``whole``, kept (the bytes that stay)."""
+    schema = _RESULT if whole else _RESULT.rsplit(", ", 1)[0]
+    return covered(spark, docs, doc_id, text).mapInArrow(lambda batches: _cleaned(batches, schema), schema)
+
+
+#: For small tables: every string of LENGTH bytes by a digest.
+SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i::BIGINT AS i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS d FROM (SELECT r, h, unnest(generate_series(0, length(h) // 2 - {LENGTH})) AS i FROM t)),
+c AS (SELECT r, i FROM w SEMI JOIN (SELECT d FROM w GROUP BY d HAVING count(*) > 1) USING (d)),
+g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM c),
+k AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+s AS (SELECT r, run, min(i) AS a, max(i) + {LENGTH} AS b FROM k GROUP BY r, run),
+o AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY run), 0) AS z FROM s),
+n AS (SELECT r, count(*) AS n, sum(b - a)::BIGINT AS gone, max(b) AS last, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY run) AS kept FROM o JOIN t USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256, coalesce(starts, []) AS starts, coalesce(stops, []) AS stops
+FROM t LEFT JOIN n USING (r)
+"""

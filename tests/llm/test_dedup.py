@@ -82,9 +82,29 @@ def jaccard_brute(rows, k, num, den):
     return Counter((i, len(s), None if best[r][0] else best[r][1]) for (i, _), s, r in zip(rows, sets, roots, strict=True))
 
 
+def test_merge_of_lists():
+    random.seed(12)
+    for _ in range(300):
+        lists = [np.array(sorted(random.sample(range(40), random.randint(0, 25))), np.int32) for _ in range(random.randint(1, 9))]
+        least = random.randint(1, len(lists))
+        count = Counter(x for y in lists for x in y.tolist())
+        assert list(jaccard_join.merged(lists, least)) == sorted((x, n) for x, n in count.items() if n >= least)
+
+
+def test_sets_with_many_empty_parts_meet():
+    """Two like sets whose shingles all fall into one part, so that no filled part of theirs is equal, still share a key."""
+    a = np.sort(np.arange(40, dtype=np.uint64) * np.uint64(3) + np.uint64(7))
+    b = np.sort(np.append(a[:-1], np.uint64(9999)))
+    other = np.sort(np.arange(40, dtype=np.uint64) * np.uint64(5) + np.uint64(1 << 20))
+    key, at, _ = jaccard_join.keys(np.concatenate([a, b, other]), np.array([40, 80, 120]), 90, 100)
+    own = [set(key[at >> 1 == k].tolist()) for k in range(3)]
+    assert own[0] & own[1] and not own[2] & (own[0] | own[1])
+
+
 @pytest.mark.parametrize(("k", "num", "cluster"), [(3, 90, 1_000_000), (5, 80, 1_000_000), (5, 80, 300), (1, 60, 1_000_000)])
 def test_jaccard(spark, monkeypatch, k, num, cluster):
     monkeypatch.setattr(jaccard_join, "CLUSTER", cluster)
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 3)
     random.seed(k)
     base = [cases.words(random.randint(5, 120), 50 + s).split() for s in range(6)]
     rows = [r[:2] for r in cases.rows()]
@@ -160,6 +180,7 @@ def test_suffix_array():
 @pytest.mark.parametrize("crowded", [4 << 20, 2000])
 def test_suffix(spark, monkeypatch, crowded):
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", crowded)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3)
     random.seed(2)
     p = cases.words(700, 77)
     junk = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
@@ -199,4 +220,5 @@ def test_suffix_query(spark, sf_dir):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.queries()["op10_suffix_dedup"](spark, sf_dir).collect())
     names, rows = duck("SELECT doc_id, text FROM documents", sf_dir)
     assert got == suffix_brute(rows)
+    same(queries.queries()["op10_suffix_dedup"](spark, sf_dir), suffix_dedup.SQL, sf_dir)
     assert suffix_dedup.remove_repeats(spark, cases.empty(spark)).count() == 0

@@ -31,9 +31,11 @@ def col(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share. Only a local session (tests) may go without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tenderline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -61,6 +63,12 @@ def recorded() -> Iterator[list[str]]:
         _RECORDING.pop()
 
 
+def unread(paths: list[str], *frames: DataFrame) -> list[str]:
+    """Those of the written paths that the DataFrames do not read."""
+    read = "\n".join(f for df in frames for f in df.inputFiles())
+    return [p for p in paths if p.rsplit("/", 1)[1] not in read]
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes written intermediate results that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -5,9 +5,11 @@ one member or its texts have ended; two texts are equal when they end in the sam
 
 1. Each task splits blocks of bounded size of its own rows this way and keeps one representative of equal texts. A text
    that a third of all rows hold leaves one row a block, so no key stays hot.
-2. The representatives are dealt out by their first digit and sorted by it. Each task walks over its groups, a bounded
-   block at a time, and splits each by the following bytes. What it holds is reduced to distinct texts whenever the
-   block is full; a group whose distinct texts exceed the bound goes to the next round, dealt out by its next digit.
+2. The representatives are split by their first ``DIGIT`` bytes, the groups above ``GROUP_BYTES`` by eight times as many, and
+   so on until each group is small enough or its texts have ended. These rounds only sum lengths, by a number for each
+   digit that the first step has made beside the text, so no group meets in one task for them, and a hot prefix is split before a text
+   moves. Then every text moves once, to the task of its group, which splits the group by all following bytes.
+   (A number that two digits share joins two groups, which the splitting parts again.)
 3. Representatives get their group's keeper; rows get it through their representative.
 
 Defined results: null text is empty; all texts without a visible character form one group; a null id is greater than any
@@ -21,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +32,9 @@ from .common import SPACES, blocks, col, materialize, parallelism, without
 
 #: Bytes of text that a task splits at a time.
 BLOCK_BYTES = 24 << 20
-#: Width of the digit by which groups are dealt out to tasks in the first round; each later round takes eight times the
-#: width. It is wide so that texts which only begin alike go to different tasks.
-DIGIT = 4096
-#: Distinct bytes of one group that a task holds before it leaves the group to the next round.
+#: Width of the first digit; each later one has eight times the width.
+DIGIT = 64
+#: Bytes of a group from which it is split further before its texts move.
 GROUP_BYTES = 64 << 20
 NO_ID = (1 << 63) - 1
 
@@ -56,6 +58,16 @@ def radix_groups(texts: list[bytes], start: int = 0) -> list[list[int]]:
     return out
 
 
+def _digits(text: bytes) -> list[int]:
+    """A number for each digit: for the bytes up to its end, from the text's start."""
+    out, width = [], DIGIT
+    while True:
+        out.append(xxhash.xxh3_64_intdigest(text[:width]) - (1 << 63))
+        if width >= len(text):
+            return out
+        width *= 8
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text and carried columns -> a row each, with its representative's number; the representative carries the best row's."""
     base, n = TaskContext.get().partitionId() << 40, 0
@@ -75,83 +87,65 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([base + n + r for r in range(len(ids))], pa.int64()), pa.array([base + n + x for x in rep], pa.int64()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()),
             pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([count[r] if own[r] else None for r in range(len(ids))], pa.int64()),
             pa.array([base + n + best[r] if own[r] else None for r in range(len(ids))], pa.int64()), pa.array([lengths[best[r]] if own[r] else None for r in range(len(ids))], pa.int64()),
-            pa.array([ids[best[r]] if own[r] else None for r in range(len(ids))], pa.int64()), *b.columns[1:],
+            pa.array([ids[best[r]] if own[r] else None for r in range(len(ids))], pa.int64()), pa.array([_digits(texts[r]) if own[r] else None for r in range(len(ids))], pa.list_(pa.int64())), *b.columns[1:],
         ], names=[*_LOCAL_NAMES, *b.schema.names[1:]])
         n += len(ids)
 
 
-_LOCAL = "rid long, rep long, doc_id long, chars long, sha string, n long, best_rid long, best_chars long, best_id long"
+_LOCAL = "rid long, rep long, doc_id long, chars long, sha string, n long, best_rid long, best_chars long, best_id long, digits array<long>"
 _LOCAL_NAMES = [x.split()[0] for x in _LOCAL.split(", ")]
-_MERGED = "rid long, root long, deep boolean, n long, best_rid long, best_chars long, best_id long, norm binary"
+_MERGED = "rid long, root long, n long, best_rid long, best_chars long, best_id long"
 _MERGED_NAMES = [x.split()[0] for x in _MERGED.split(", ")]
+#: Rows that a task holds or hands on at a time.
+ROWS = 1 << 16
 
 
 class _Group:
-    """Rows of one group so far: rid -> root, and the distinct texts."""
+    """What is known of one group so far: a root and its text for each distinct text, and rows that are not yet told apart."""
 
-    def __init__(self, key, deep=False):
-        self.key, self.deep, self.roots, self.texts, self.size, self.rows = key, deep, [], [], 0, []
+    def __init__(self):
+        self.roots, self.texts, self.rows, self.size = [], [], [], 0
 
     def add(self, row: tuple, text: bytes) -> None:
-        self.rows.append((row, len(self.texts)))
-        self.roots.append(row[0])
-        self.texts.append(text)
+        self.rows.append((row, text))
         self.size += len(text)
 
-    def reduce(self) -> None:
-        """Keeps one of equal texts."""
-        place = [0] * len(self.texts)
-        roots, texts = [], []
-        for members in radix_groups(self.texts):
-            for r in members:
-                place[r] = len(roots)
-            roots.append(self.roots[members[0]])
-            texts.append(self.texts[members[0]])
-        self.rows = [(row, place[k]) for row, k in self.rows]
-        self.roots, self.texts, self.size = roots, texts, sum(map(len, texts))
-
-
-def _merge(at: int, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()])], names=_MERGED_NAMES)
-
-        def done(g: _Group):
-            g.reduce()
-            if not g.deep:
-                return [(row[0], g.roots[k], False, *row[1:5], None) for row, k in g.rows]
-            # Too many distinct texts with these first bytes: the next round splits them by the bytes that follow.
-            return [(row[0], g.roots[k], g.roots[k] == row[0], *row[1:5], g.texts[k] if g.roots[k] == row[0] else None) for row, k in g.rows]
-
-        group, out, held = None, [], 0
-        for b in blocks(batches, "norm", BLOCK_BYTES):
-            cols = [b.column(c).to_pylist() for c in ("rid", "n", "best_rid", "best_chars", "best_id", "grp", "norm")]
-            for rid, n, best_rid, best_chars, best_id, grp, norm in zip(*cols, strict=True):
-                digit = norm[at : at + width]
-                if group is None or group.key != (grp, digit):
-                    if group is not None:
-                        out += done(group)
-                    group = _Group((grp, digit))
-                group.add((rid, n, best_rid, best_chars, best_id), norm)
-                if group.size > GROUP_BYTES or len(group.rows) >= 1 << 18:
-                    group.reduce()
-                    if group.deep or group.size > GROUP_BYTES // 2 and len(group.texts) > 1:
-                        group.deep = True
-                        out += done(group)
-                        group = _Group(group.key, deep=True)
-                    else:  # what is decided leaves, the distinct texts stay
-                        out += [(row[0], group.roots[k], False, *row[1:5], None) for row, k in group.rows if row[0] != group.roots[k]]
-                        group.rows = [(row, k) for row, k in group.rows if row[0] == group.roots[k]]
-            held = sum(len(x[7] or b"") for x in out)
-            if len(out) > 20_000 or held > BLOCK_BYTES:
-                yield batch(out)
-                out = []
-        if group is not None:
-            out += done(group)
-        if out:
+    def reduce(self) -> list[tuple]:
+        """The rows with their roots; one of equal texts stays."""
+        known, out = len(self.texts), []
+        texts = [*self.texts, *(t for _, t in self.rows)]
+        for members in radix_groups(texts):
+            first = min(members)
+            if first >= known:
+                self.roots.append(self.rows[first - known][0][0])
+                self.texts.append(texts[first])
+            root = self.roots[first] if first < known else self.roots[-1]
+            out += [(self.rows[r - known][0][0], root, *self.rows[r - known][0][1:]) for r in members if r >= known]
+        self.rows, self.size = [], 0
+        return out
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group -> each with its root."""
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(len(_MERGED_NAMES))], names=_MERGED_NAMES)
+
+    group, last, out = _Group(), None, []
+    for b in blocks(batches, "norm", BLOCK_BYTES):
+        for *row, grp, norm in zip(*(b.column(c).to_pylist() for c in ("rid", "n", "best_rid", "best_chars", "best_id", "grp", "norm")), strict=True):
+            if grp != last:
+                out += group.reduce()
+                group, last = _Group(), grp
+            elif group.size > GROUP_BYTES or len(group.rows) >= ROWS:  # more than GROUP_BYTES only where the texts have ended, so that few are distinct
+                out += group.reduce()
+            group.add(tuple(row), norm)
+        if len(out) >= ROWS:
             yield batch(out)
-
-    return run
+            out = []
+    out += group.reduce()
+    if out:
+        yield batch(out)
 
 
 def locally(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -169,34 +163,31 @@ def groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
 
 def resolved(spark: SparkSession, local: DataFrame) -> DataFrame:
     """rid, doc_id, chars, sha and the group's id and r (the keeper's id and number) and group_size."""
-    parts = parallelism(spark)
-    todo = local.where("n is not null").select("rid", "n", "best_rid", "best_chars", "best_id", F.lit(0).cast("long").alias("grp"), F.translate(F.coalesce("text", F.lit("")), SPACES.decode(), "").cast("binary").alias("norm"))
-    found, at, width = [], 0, DIGIT
-    while True:
-        # The rows of one group agree on all bytes before ``at``; the digits from there on tell its parts apart.
-        digit = F.substring("norm", at + 1, width)  # not a column, so it is not shuffled beside the text
-        dealt = todo.repartition(parts, "grp", digit).sortWithinPartitions("grp", digit)
-        merged = materialize(spark, dealt.mapInArrow(_merge(at, width), _MERGED), "exact-merged")
-        found.append(merged.select("rid", "root", "deep", "n", "best_rid", "best_chars", "best_id"))
-        left = merged.where("deep")
-        if left.isEmpty():
-            break
-        at, width = at + width, 8 * width
-        todo = left.select("rid", "n", "best_rid", "best_chars", "best_id", F.xxhash64(F.substring("norm", 1, at)).alias("grp"), "norm")
-    links = found[0].drop("deep") if len(found) == 1 else _deepest(spark, found)
+    todo = local.where("n is not null").select("rid", "n", "best_rid", "best_chars", "best_id", "digits", F.translate(F.coalesce("text", F.lit("")), SPACES.decode(), "").cast("binary").alias("norm"))
+    dealt = _routed(spark, local, todo).repartition(parallelism(spark), "grp").sortWithinPartitions("grp")
+    links = materialize(spark, dealt.mapInArrow(_merge, _MERGED), "exact-merged")
     first = F.struct((-F.col("best_chars")).alias("c"), F.coalesce("best_id", F.lit(NO_ID)).alias("i"), F.col("best_rid").alias("r"), F.col("best_id").alias("id"))
     keepers = links.groupBy("root").agg(F.min(first).alias("k"), F.sum("n").alias("group_size"))
     reps = links.select(F.col("rid").alias("rep"), "root").join(keepers, "root").select("rep", "k.id", "k.r", "group_size")
     return local.select("rid", "rep", "doc_id", "chars", "sha").join(reps, "rep")
 
 
-def _deepest(spark: SparkSession, found: list[DataFrame]) -> DataFrame:
-    """Follows each representative through the rounds to its last root."""
-    links = found[0].drop("deep")
-    for later in found[1:]:
-        step = later.select(F.col("rid").alias("root"), F.col("root").alias("next"))
-        links = materialize(spark, links.join(step, "root", "left").select("rid", F.coalesce("next", "root").alias("root"), "n", "best_rid", "best_chars", "best_id"), "exact-links")
-    return links
+def _routed(spark: SparkSession, local: DataFrame, todo: DataFrame) -> DataFrame:
+    """The rows with the number of their group instead of their digits."""
+    at = lambda k: F.coalesce(F.get("digits", F.lit(k)), F.element_at("digits", -1))  # noqa: E731  an ended text keeps its last
+    left = local.where("n is not null").select("digits", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    grp, k = at(0), 0
+    while True:
+        sums = left.groupBy(at(k).alias("_d")).agg(F.sum("size").alias("s"), F.max(F.size("digits")).alias("more"))
+        large = sums.where((F.col("s") > GROUP_BYTES) & (F.col("more") > k + 1)).select("_d", F.lit(True).alias(f"_more{k}"))
+        large = materialize(spark, large, "exact-large")
+        if large.isEmpty():
+            return todo.withColumn("grp", grp).drop("digits", *(f"_more{j}" for j in range(k)))
+        large = F.broadcast(large)  # at most one row for each GROUP_BYTES of text
+        left = left.join(large.select("_d"), at(k) == F.col("_d"), "left_semi")
+        todo = todo.join(large, at(k) == F.col("_d"), "left").drop("_d")
+        grp = F.when(F.col(f"_more{k}"), at(k + 1)).otherwise(grp)
+        k += 1
 
 
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:

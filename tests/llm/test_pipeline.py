@@ -58,3 +58,15 @@ def test_odd_rows(spark, sf_dir):
                 assert out.columns == docs.columns
             docs = out
         docs.count()
+
+
+def test_chained_without_a_write(spark, sf_dir):
+    """Stages may be chained lazily, and two pipelines in one process leave each other's tables alone."""
+    docs = table(spark, sf_dir, "documents")
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    one, other = docs, docs.where("doc_id % 2 = 0")
+    want = stages[3](spark, materialize(spark, stages[2](spark, materialize(spark, stages[1](spark, docs, sf_dir), "a"), sf_dir), "b"), sf_dir).count()
+    for stage in stages[1:4]:
+        one, other = stage(spark, one, sf_dir), stage(spark, other, sf_dir)
+    assert one.count() == want and other.count() > 0
+    assert stages[3](spark, stages[2](spark, stages[1](spark, docs, sf_dir), sf_dir), sf_dir).count() == want

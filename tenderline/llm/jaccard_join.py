@@ -192,25 +192,27 @@ def _remaining(spark: SparkSession, shared: DataFrame, rounds: int = 2) -> DataF
     return shared
 
 
-def merged(lists: list[np.ndarray], least: int):
-    """(number, count) of the numbers that at least ``least`` of the rising lists hold, by a heap of the lists' heads.
+def merged(lists: list[np.ndarray], weights: list[int], least: int):
+    """(number, weight) of the numbers whose lists (rising) weigh at least ``least`` together, by a heap of the lists' heads.
 
-    Where too few heads are equal, the lists of the ``least`` - 1 smallest heads jump to the next head: no number before it can reach
-    ``least``.
+    Where too few heads are equal, the smallest heads that together stay below ``least`` jump to the next head: no number before it
+    can reach ``least``.
     """
     heap = [(int(x[0]), k) for k, x in enumerate(lists) if len(x)]
     heapq.heapify(heap)
     at = [0] * len(lists)
-    while len(heap) >= least:
-        top, popped = heap[0][0], []
+    while heap:
+        top, popped, total = heap[0][0], [], 0
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= least:
-            yield top, len(popped)
+            total += weights[popped[-1]]
+        if total >= least:
+            yield top, total
             to = top + 1
         else:
-            while len(popped) < least - 1:
+            while heap and total + weights[heap[0][1]] < least:
                 popped.append(heapq.heappop(heap)[1])
+                total += weights[popped[-1]]
             if not heap:
                 return
             to = heap[0][0]
@@ -250,9 +252,15 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     sorted_h = flat[order]
     head = np.ones(len(flat), bool)
     head[1:] = sorted_h[1:] != sorted_h[:-1]
-    begin = np.flatnonzero(head)[np.cumsum(head) - 1]
+    first = np.flatnonzero(head)
+    # Shingles that the same sets hold (those of one passage, say) share one list, which weighs as much as they are many.
+    length = np.diff(np.append(first, len(flat)))
+    kind = np.add.reduceat(mix(lists.astype(np.uint64) + np.uint64(1)), first) + mix(length.astype(np.uint64)) if len(flat) else sorted_h
+    _, one, place = np.unique(kind, return_index=True, return_inverse=True)
+    number = np.cumsum(head) - 1
+    begin = first[number]
     start_of, before = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
-    start_of[order] = begin
+    start_of[order] = first[one][place][number] if len(flat) else begin
     before[order] = np.arange(len(flat)) - begin  # sets before this one in the list
     ends = np.cumsum(size)
     for q in range(m):
@@ -263,46 +271,55 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
         if np.count_nonzero(length) < least:
             continue
         low = int(np.searchsorted(size, least))
+        start, where, weight = np.unique(start, return_index=True, return_counts=True)
+        length = length[where]
         by = np.argsort(length, kind="stable")
-        aside = min(least - 1, int(least / (MU * math.log2(max(2, length[by[-1]])) + 1)))  # L
+        weight = weight[by]
+        most = min(least - 1, int(least / (MU * math.log2(max(2, length[by[-1]])) + 1)))
+        cut = int(np.searchsorted(-np.cumsum(weight[::-1])[::-1], -most))  # the longest lists from here on weigh L or less
+        aside = int(weight[cut:].sum())
         mine = [lists[s : s + n] for s, n in zip(start[by].tolist(), length[by].tolist(), strict=True)]
-        short, long = mine[: len(mine) - aside], mine[len(mine) - aside :]
+        short, long, weight = mine[:cut], mine[cut:], weight.tolist()
         if low:  # too small to link
             short = [x[np.searchsorted(x, low) :] for x in short]
         while left > 1:
-            joined = _first_links(merged(short, least - aside), long, size, q, parts, num, den)
+            joined, last = _first_links(merged(short, weight, least - aside), long, weight[cut:], size, q, parts, num, den)
             for c in joined:
                 out.append((q, c))
                 parts.join(q, c)
                 left -= 1
             if not joined:
                 break
-            # The sets that are joined now leave the lists.
+            # The sets that are joined now, and those that have been looked at, leave the lists.
+            short = [x[np.searchsorted(x, last, side="right") :] for x in short]
             short = [x[parts.of[x] != parts.of[q]] for x in short]
     return out
 
 
-def _first_links(found, long: list[np.ndarray], size: np.ndarray, q: int, parts: Parts, num: int, den: int) -> list[int]:
-    """Sets of different components that link with ``q``, from the first candidates in which there is such a set."""
+def _first_links(found, long: list[np.ndarray], weight: list[int], size: np.ndarray, q: int, parts: Parts, num: int, den: int) -> tuple[list[int], int]:
+    """(sets of different components that link with ``q``, the last set looked at), from the first candidates in which there is such a set."""
     step = 8
     while True:
         some = [x for _, x in zip(range(step), found, strict=False)]
         if not some:
-            return []
+            return [], 0
+        last = some[-1][0]
         step = min(4 * step, 1024)
         now, have = np.array(some).T
         need = -(-num * (size[q] + size[now]) // (num + den))
-        for k, x in enumerate(long):
-            alive = have + len(long) - k >= need
+        rest = sum(weight)
+        for x, w in zip(long, weight, strict=True):
+            alive = have + rest >= need
             if not alive.all():
                 now, have, need = now[alive], have[alive], need[alive]
                 if not len(now):
                     break
-            at = np.searchsorted(x, now)
-            have = have + (x[np.minimum(at, len(x) - 1)] == now) if len(x) else have
+            rest -= w
+            if len(x):
+                have = have + w * (x[np.minimum(x.searchsorted(now), len(x) - 1)] == now)
         linked = {int(parts.of[c]): c for c in now[have >= need].tolist()}
         if linked:
-            return list(linked.values())
+            return list(linked.values()), last
 
 
 def _searched(k: int, num: int, den: int):

@@ -97,9 +97,35 @@ def test_merge_of_lists():
     random.seed(12)
     for _ in range(300):
         lists = [np.array(sorted(random.sample(range(40), random.randint(0, 25))), np.int32) for _ in range(random.randint(1, 9))]
-        least = random.randint(1, len(lists))
-        count = Counter(x for y in lists for x in y.tolist())
-        assert list(jaccard_join.merged(lists, least)) == sorted((x, n) for x, n in count.items() if n >= least)
+        weights = [random.randint(1, 3) for _ in lists]
+        least = random.randint(1, sum(weights))
+        count = Counter()
+        for y, w in zip(lists, weights, strict=True):
+            count.update(dict.fromkeys(y.tolist(), w))
+        assert list(jaccard_join.merged(lists, weights, least)) == sorted((x, n) for x, n in count.items() if n >= least)
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (50, 100)])
+def test_search(num, den):
+    """The forest of a search joins exactly what all pairs join."""
+    rng = np.random.default_rng(num)
+    for _ in range(30):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 60), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 4), dtype=np.uint64)])) for _ in range(25)]
+        sets += [np.unique(np.append(base[k:], base[:1])) for k in range(0, 12, 2)] * 2
+        sets.sort(key=len)
+
+        def joined(links):
+            p = jaccard_join.Parts(len(sets))
+            for a, b in links:
+                if p.of[a] != p.of[b]:
+                    p.join(a, b)
+            return {tuple(np.flatnonzero(p.of == x)) for x in p.of}
+
+        size = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a) if den * size(a, b) >= num * (len(sets[a]) + len(sets[b]) - size(a, b))]
+        got = jaccard_join.search(sets, num, den)
+        assert joined(got) == joined(pairs) and len(got) == len(sets) - len(joined(pairs)) and set(got) <= set(pairs)
 
 
 def test_sets_with_many_empty_parts_meet():

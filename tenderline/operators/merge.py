@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Which source's profile fields win; any other source has priority 0.
+# Which source's profile fields win; any other source has priority 0.
 PROFILE_PRIORITY = {"user-info": 3, "excellent-products-csv": 2, "csv": 1}
 
 
@@ -73,37 +75,54 @@ def enrich(records: DataFrame, found: DataFrame, key: str, fields: list[str], st
 
 
 class Snapshot:
-    """A table as numbered folders of Parquet and a manifest that names the one that counts.
+    """A table as folders of Parquet and a numbered manifest for each version, of which the highest counts.
 
-    Data is written first, the manifest last, by a rename; a reader without a manifest sees no table, so a failed write is never
-    read. The folder must be one that all executors share.
+    Data goes to a folder of its own first; then the manifest that names it is created, never overwritten. So a write that fails at any
+    point leaves the versions before it as they are, and of two writers of one version the second fails. The versions ``KEPT`` before
+    the current one stay for readers that have begun. The folder must be one that all executors share.
     """
 
+    KEPT = 2
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _versions(self) -> dict[int, str]:
+        """Folder names by version; a manifest without a name was never finished."""
+        if not self._fs.exists(self._hadoop.Path(self.path)):
+            return {}
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._hadoop.Path(self.path))]
+        out = {}
+        for n in sorted(int(x.removeprefix("manifest-")) for x in names if x.startswith("manifest-")):
+            stream = self._fs.open(self._hadoop.Path(f"{self.path}/manifest-{n}"))
+            try:
+                out[n] = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+        return out
+
     def version(self) -> int:
         """0: nothing has been written."""
-        p = self._hadoop.Path(f"{self.path}/manifest")
-        return int(self.spark.read.text(p.toString()).first()["value"]) if self._fs.exists(p) else 0
+        return max((n for n, folder in self._versions().items() if folder), default=0)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}")
+        return self.spark.read.parquet(f"{self.path}/{self._versions()[self.version()]}")
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        n = self.version() + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v{n}")
-        P = self._hadoop.Path
-        self._fs.mkdirs(P(self.path))
-        new, old = P(f"{self.path}/manifest.new"), P(f"{self.path}/manifest")
-        out = self._fs.create(new, True)
-        out.write(bytearray(str(n).encode()))
+        n = max(self._versions(), default=0) + 1
+        folder = f"v{n}-{uuid.uuid4().hex}"
+        writer = df.write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{folder}")
+        out = self._fs.create(self._hadoop.Path(f"{self.path}/manifest-{n}"), False)
+        out.write(bytearray(folder.encode()))
         out.close()
-        self._fs.delete(old, False)
-        self._fs.rename(new, old)
+        for old, name in self._versions().items():
+            if old < n - self.KEPT:
+                if name:
+                    self._fs.delete(self._hadoop.Path(f"{self.path}/{name}"), True)
+                self._fs.delete(self._hadoop.Path(f"{self.path}/manifest-{old}"), False)
         return n
 
     def backup(self, to: str) -> None:

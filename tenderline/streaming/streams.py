@@ -23,6 +23,8 @@ def checkpoint_dir(spark: SparkSession, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tenderline-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -71,3 +73,15 @@ def keep_latest(stream: DataFrame, table: Snapshot, keys: list[str], order: Call
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def keep_updates(stream: DataFrame, table: Snapshot, keys: list[str], progress: str) -> None:
+    """Keeps the last state of each key of an aggregated stream, those that the watermark has not passed included."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        table.write(table.read().join(batch, keys, "left_anti").unionByName(batch) if table.version() else batch)
+        batch.unpersist()
+
+    query = stream.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query.awaitTermination()

@@ -34,21 +34,32 @@ def attribute(rows: DataFrame, keys: list[str], position: str, total: str, curre
     in proportion, the rest of the sum to the first.
     """
     by = Window.partitionBy(*keys)
-    n = F.count("*").over(by)
-    t, c = F.coalesce(F.col(total), F.lit(0)).cast("double"), F.coalesce(F.col(current), F.lit(0)).cast("double")
-    r = rows.withColumn("_by_amount", (F.count(amount).over(by) == n) & (F.sum(amount).over(by) <= t))
-    r = r.withColumn("_by_rate", ~F.col("_by_amount") & (F.count(rate).over(by) == n) & (F.max(rate).over(by) <= 100) & (F.abs(F.sum(rate).over(by) - 100) < 0.001))
-    r = r.withColumn("_by_rate", F.coalesce("_by_rate", F.lit(False)))
-    kind = F.when(F.col("_by_amount"), "supplier-reported").when(F.col("_by_rate"), "supplier-rate").when(n == 1, "full-contract").otherwise("equal-share")
-    r = r.withColumn("kind", kind).withColumn("_w", F.when(F.col("_by_rate"), rounded(F.col(rate) * RATE_UNIT)).otherwise(F.lit(1).cast("long")))
-    first = F.row_number().over(by.orderBy(position)) == 1
-    for name, value in (("_t", t), ("_c", c)):
-        r = r.withColumn(f"{name}_in", value).withColumn(f"{name}_whole", F.floor(value).cast("long"))
-        r = allocate(r, keys, position, f"{name}_whole", "_w", f"{name}_parts")
-        r = r.withColumn(f"{name}_share", F.col(f"{name}_in") * F.col("_w") / F.nullif(F.sum("_w").over(by), F.lit(0)))
-        exact = F.col(f"{name}_share") + F.when(first, F.col(f"{name}_in") - F.sum(f"{name}_share").over(by)).otherwise(0.0)
-        r = r.withColumn(f"{name}_out", F.when(F.col(f"{name}_in") == F.col(f"{name}_whole"), F.col(f"{name}_parts").cast("double")).otherwise(exact))
-    reported = F.when(F.col("_t_in") > 0, F.col("_c_in") * F.col(amount) / F.col("_t_in")).otherwise(0.0)
-    r = r.withColumn("attributed_total", F.when(F.col("_by_amount"), F.col(amount)).otherwise(F.col("_t_out")))
-    r = r.withColumn("attributed_current", F.when(F.col("_by_amount"), reported).otherwise(F.col("_c_out")))
+    value = {"_t": F.coalesce(F.col(total), F.lit(0)).cast("double"), "_c": F.coalesce(F.col(current), F.lit(0)).cast("double")}
+    units = rounded(F.col(rate) * RATE_UNIT)
+    r = rows.withColumns({**value, "_u": units})
+    # All sums that do not depend on the kind in one pass over the contract's rows.
+    r = r.withColumns({
+        "_n": F.count("*").over(by), "_na": F.count(amount).over(by), "_sa": F.sum(amount).over(by), "_nr": F.count(rate).over(by), "_mr": F.max(rate).over(by), "_sr": F.sum(rate).over(by), "_su": F.sum("_u").over(by),
+        "_first": F.min(position).over(by),
+    })
+    by_amount = F.coalesce((F.col("_na") == F.col("_n")) & (F.col("_sa") <= F.col("_t")), F.lit(False))
+    by_rate = F.coalesce((F.col("_nr") == F.col("_n")) & (F.col("_mr") <= 100) & (F.abs(F.col("_sr") - 100) < 0.001), F.lit(False))
+    kind = F.when(by_amount, "supplier-reported").when(by_rate, "supplier-rate").when(F.col("_n") == 1, "full-contract").otherwise("equal-share")
+    r = r.withColumn("kind", kind)
+    rated = F.col("kind") == "supplier-rate"
+    r = r.withColumns({"_w": F.when(rated, F.col("_u")).otherwise(F.lit(1).cast("long")), "_tw": F.nullif(F.when(rated, F.col("_su")).otherwise(F.col("_n")), F.lit(0))})
+    for v in value:
+        r = r.withColumn(f"{v}p", (F.floor(v).cast("decimal(19,0)") * F.col("_w").cast("decimal(18,0)")).cast(_WIDE))
+        r = r.withColumn(f"{v}rest", F.pmod(f"{v}p", F.col("_tw").cast(_WIDE))).withColumn(f"{v}base", F.expr(f"({v}p - {v}rest) div _tw"))
+        r = r.withColumn(f"{v}share", F.col(v) * F.col("_w") / F.col("_tw"))
+    r = r.withColumns({f"{v}sum{x}": F.sum(f"{v}{x}").over(by) for v in value for x in ("base", "share")})
+    r = r.withColumns({f"{v}k": F.row_number().over(by.orderBy(F.col(f"{v}rest").desc(), F.col(position))) for v in value})
+    part = {}
+    for v in value:
+        whole = F.coalesce(F.col(f"{v}base") + F.when(F.col(f"{v}k") <= F.floor(v) - F.col(f"{v}sumbase"), 1).otherwise(0), F.lit(0)).cast("double")
+        exact = F.col(f"{v}share") + F.when(F.col(position) == F.col("_first"), F.col(v) - F.col(f"{v}sumshare")).otherwise(0.0)
+        part[v] = F.when(F.col(v) == F.floor(v), whole).otherwise(exact)
+    known = F.col("kind") == "supplier-reported"
+    reported = F.when(F.col("_t") > 0, F.col("_c") * F.col(amount) / F.col("_t")).otherwise(0.0)
+    r = r.withColumns({"attributed_total": F.when(known, F.col(amount)).otherwise(part["_t"]), "attributed_current": F.when(known, reported).otherwise(part["_c"])})
     return r.select(*rows.columns, "attributed_total", "attributed_current", "kind")

@@ -27,9 +27,13 @@ def contract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an order: contract, ceiling, signed (date), agency (customer key)."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("contract"), rounded(F.col("o_totalprice")).alias("ceiling"), F.to_date("o_orderdate").alias("signed"), F.col("o_custkey").alias("agency"))
+def contracts(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """One row an order: contract, ceiling, signed (date), agency (customer key). The year is a range of the stored column, so it reaches the scan."""
+    rows = table(spark, sf_dir, "orders")
+    if year is not None:
+        edge = lambda y: F.lit(f"{y}-01-01").cast(rows.schema["o_orderdate"].dataType)
+        rows = rows.where((F.col("o_orderdate") >= edge(year)) & (F.col("o_orderdate") < edge(year + 1)))
+    return rows.select(F.col("o_orderkey").alias("contract"), rounded(F.col("o_totalprice")).alias("ceiling"), F.to_date("o_orderdate").alias("signed"), F.col("o_custkey").alias("agency"))
 
 
 def registry_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

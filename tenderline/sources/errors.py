@@ -27,3 +27,7 @@ class Response(SourceError):
 
 class Incomplete(SourceError):
     status = 502
+
+
+class Unauthorized(SourceError):
+    status = 403

@@ -64,6 +64,47 @@ def test_page_loops():
     assert paged.build_url("http://x", {"a": 1, "b": None, "c": " "}) == "http://x?a=1&type=json"
 
 
+def test_index_quotes_and_line_numbers(spark, tmp_path):
+    head = 'biz_no,"business_name",contract_date,contract_name'
+    lines = ["", '1234567890,A "x, y" z,2026-01-15,N', "bad", "  ", '1234567891,"B ""q"" c" d,2026-01-15,"no end', "12,A,2026-01-15,N"]
+    rows, errors = csv_index.read_index(spark, write(tmp_path / "a.csv", "\n".join(["", head, *lines])))
+    assert sorted((r.biz_no_normalized, r.business_name, r.contract_name) for r in rows.collect()) == [("1234567890", "A x, y z", "N"), ("1234567891", 'B "q" c d', "no end")]
+    assert sorted((e.line_no, e.reason) for e in errors.collect()) == [(5, "field count"), (8, "biz_no")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        many = [head, *("1234567890,A,2026-01-15,N" if i % 100 else "bad" for i in range(1, 3000))]
+        _, errors = csv_index.read_index(spark, write(tmp_path / "b.csv", "\r\n".join(many)))
+        assert sorted(e.line_no for e in errors.collect()) == [i + 1 for i in range(100, 3000, 100)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_snapshot_after_a_crash(spark, tmp_path):
+    """A write that ends before its manifest is whole changes nothing, and the next one does not touch what counts."""
+    table = Snapshot(spark, str(tmp_path / "t"))
+    table.write(spark.range(3))
+    spark.range(9).write.parquet(str(tmp_path / "t" / "v2-orphan"))
+    (tmp_path / "t" / "manifest-2").write_text("")
+    assert table.version() == 1 and table.read().count() == 3
+    assert table.write(spark.range(4)) == 3 and table.read().count() == 4
+    (tmp_path / "t" / "manifest-3").unlink()
+    assert table.version() == 1 and table.read().count() == 3
+    for n in range(6):
+        table.write(spark.range(n))
+    assert table.read().count() == 5 and len(list((tmp_path / "t").glob("v*"))) <= 3 + 2
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    one, other = Snapshot(spark, str(tmp_path / "t")), Snapshot(spark, str(tmp_path / "t"))
+    one.write(spark.range(1))
+    seen = one._versions()
+    one.write(spark.range(2))
+    monkeypatch.setattr(other, "_versions", lambda: seen)  # it looked before the first had ended
+    with pytest.raises(Exception, match="exist"):
+        other.write(spark.range(7))
+    assert one.read().count() == 2
+
+
 def test_snapshot(spark, tmp_path):
     table = Snapshot(spark, str(tmp_path / "t"))
     assert table.version() == 0

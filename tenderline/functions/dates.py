@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
@@ -37,13 +36,6 @@ def delivery_date(c: Column) -> Column:
     return F.when(F.length(d) == 8, F.try_to_date(d, "yyyyMMdd"))
 
 
-def iso_date(text: str) -> date:
-    """A strict request date; raises on anything else."""
-    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
-        raise ValueError("date must be YYYY-MM-DD")
-    return date.fromisoformat(text)
-
-
 def _windows(rows: DataFrame, step: str, end) -> DataFrame:
     """``rows`` with date_from and date_to -> one row a window: the same columns, window_from, window_to."""
     out = rows.withColumn("_at", F.explode(F.expr(step)))
@@ -91,8 +83,9 @@ def months_between_inclusive(a: Column, b: Column) -> Column:
 
 
 def designation_end(start: Column) -> Column:
-    """Six years on, less a day. February 29 is followed by February 27, where the day after February 28 is meant elsewhere."""
-    return F.date_sub(F.add_months(start, 72), 1)
+    """Six years on, less a day; a February 29 stands for March 1 where its year has none."""
+    later = F.add_months(start, 72)
+    return F.when(F.dayofmonth(start) == F.dayofmonth(later), F.date_sub(later, 1)).otherwise(later)
 
 
 @dataclass(frozen=True)

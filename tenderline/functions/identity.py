@@ -104,6 +104,12 @@ def item_codes(codes: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(codes, item_code)))
 
 
+def merged_codes(a: Column, b: Column) -> Column:
+    """The codes of both lists, each once, in order of appearance; a missing list is empty."""
+    none = F.array().cast("array<string>")
+    return item_codes(F.concat(F.coalesce(a, none), F.coalesce(b, none)))
+
+
 def item_names(*names: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*(F.nullif(text_or_empty(n), F.lit("")) for n in names))))
 

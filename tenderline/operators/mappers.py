@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import amount_loose, amount_strict, amount_unsigned, delivery_amount, first_non_negative, whole_number
 from ..functions.dates import delivery_date, lenient_date, strict_date
-from ..functions.identity import contract_key, delivery_id, delivery_number, item_codes, item_names, numbered_row_hash
+from ..functions.identity import contract_key, delivery_id, delivery_number, group_key, item_codes, item_names, numbered_row_hash
 from ..functions.text import business_number, canonical_text, category, compact_text, digits, display_number, first_agency, first_non_blank, first_text, supplier_list, text_or_empty, trimmed
 
 # The provider's field names, each list in order of priority, and labels that localized keys contain.
@@ -39,14 +39,9 @@ THIRD_PARTY, UNIT_PRICE, DELIVERY = "제3자단가", "제3자단가계약", "납
 STANDARD_DATASET, DELIVERY_DATASET = "public-standard-contract", "third-party-delivery"
 
 
-def matches_number(row: Column, number: Column) -> Column:
-    """Whether the number stands in a number field, under a key that names business numbers, or in the supplier list."""
-    direct = F.exists(F.map_entries(row), lambda e: (e["key"].isin(NUMBER_FIELDS) | F.contains(e["key"], F.lit(NUMBER_LABEL))) & (digits(F.coalesce(e["value"], F.lit(""))) == number))
-    return F.coalesce(direct, F.lit(False)) | F.exists(supplier_list(row["corpList"]), lambda s: s["biz_no"] == number)
-
-
-def lookup_rows(items: DataFrame, numbers: DataFrame, row: str = "row") -> tuple[DataFrame, DataFrame]:
-    """(rows, failures): a canonical row for each item and requested number that it names; items that lack a required field, with the reason.
+def lookup_rows(items: DataFrame, numbers: DataFrame, row: str = "row", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, failures): a canonical row for each item and requested number that it names, with the items' columns in ``carry``; items that
+    lack a required field, with the reason.
 
     Items meet numbers by the numbers that they hold, an equi-join, not by trying every pair.
     """
@@ -63,7 +58,7 @@ def lookup_rows(items: DataFrame, numbers: DataFrame, row: str = "row") -> tuple
     missing = F.concat_ws(", ", F.when(name.isNull(), "business_name"), F.when(day.isNull(), "contract_date"), F.when(title.isNull(), "contract_name"))
     out = each.withColumn("_missing", missing)
     rows = out.where("_missing = ''").select(
-        F.lit(STANDARD_DATASET).alias("source_dataset"), numbered_row_hash(r, F.col("biz_no")).alias("source_row_hash"), F.col("biz_no").alias("biz_no_normalized"), display_number(F.col("biz_no")).alias("biz_no_display"),
+        *carry, F.lit(STANDARD_DATASET).alias("source_dataset"), numbered_row_hash(r, F.col("biz_no")).alias("source_row_hash"), F.col("biz_no").alias("biz_no_normalized"), display_number(F.col("biz_no")).alias("biz_no_display"),
         name.alias("business_name"), F.coalesce(pick(["rprsntCorpCeoNm"], "representative"), own["representative"]).alias("representative_name"), pick(["addr", "adres", "corpAddr", "rprsntCorpAdrs"], "address").alias("address"),
         category(pick(["bsnsDivNm", "businessCategory"])).alias("business_category"), pick(["ntceNo", "bidNtceNo"]).alias("notice_no"), pick(["bidNtceOrd"]).alias("notice_order"), pick(["bidNtceNm"]).alias("notice_name"),
         pick(NO_FIELDS).alias("contract_no"), pick(["untyCntrctNo"]).alias("unified_contract_no"), title.alias("contract_name"), day.alias("contract_date"),
@@ -97,24 +92,26 @@ def projections(items: DataFrame, row: str = "row") -> DataFrame:
     current = amount_loose(text(CURRENT_FIELDS))
     names = item_names(*(r[k] for k in ITEM_NAME_FIELDS))
     no, notice, url = canonical_text(text(NO_FIELDS)), canonical_text(text(NOTICE_FIELDS)), canonical_text(text(DETAIL_URL_FIELDS))
-    key = contract_key(no, notice, url, canonical_text(text(DATE_FIELDS)), canonical_text(text(AGENCY_NAME_FIELDS)), canonical_text(text(CONTRACT_AGENCY_NAME_FIELDS)), canonical_text(text(CONTRACT_NAME_FIELDS)), canonical_text(F.array_join(F.array_sort(names), "\n")), canonical_text(text(METHOD_FIELDS)), canonical_text(text(TYPE_FIELDS)), total.cast("string"))
+    agency, contract_agency, title = (canonical_text(text(k)) for k in (AGENCY_NAME_FIELDS, CONTRACT_AGENCY_NAME_FIELDS, CONTRACT_NAME_FIELDS))
+    key = contract_key(no, notice, url, canonical_text(text(DATE_FIELDS)), agency, contract_agency, title, canonical_text(F.array_join(F.array_sort(names), "\n")), canonical_text(text(METHOD_FIELDS)), canonical_text(text(TYPE_FIELDS)), total.cast("string"))
+    original = lenient_date(text(ORIGINAL_FIELDS))
     return items.select(
-        "*", F.lit(STANDARD_DATASET).alias("source_dataset"), key["kind"].alias("contract_key_kind"), key["key"].alias("contract_key"), suppliers_of(r).alias("suppliers"), text(CONTRACT_NAME_FIELDS, "-").alias("contract_name"),
-        names.alias("item_names"), item_codes(F.array(*(F.coalesce(r[k], F.lit("")) for k in CODE_FIELDS))).alias("item_codes"), lenient_date(text(DATE_FIELDS)).alias("contract_date"), lenient_date(text(ORIGINAL_FIELDS)).alias("original_contract_date"),
+        "*", F.lit(STANDARD_DATASET).alias("source_dataset"), key["kind"].alias("contract_key_kind"), key["key"].alias("contract_key"), group_key(key["kind"], key["key"], original, notice, title, agency, contract_agency).alias("contract_group"), suppliers_of(r).alias("suppliers"), text(CONTRACT_NAME_FIELDS, "-").alias("contract_name"),
+        names.alias("item_names"), item_codes(F.array(*(F.coalesce(r[k], F.lit("")) for k in CODE_FIELDS))).alias("item_codes"), lenient_date(text(DATE_FIELDS)).alias("contract_date"), original.alias("original_contract_date"),
         whole_number(text(ORDER_FIELDS)).alias("amendment_order"), F.when(current != 0, current).otherwise(total).alias("current_contract_amount"), total.alias("total_contract_amount"),
         text(AGENCY_NAME_FIELDS, "-").alias("demand_agency_name"), text(AGENCY_CODE_FIELDS).alias("demand_agency_code"), text(CONTRACT_AGENCY_NAME_FIELDS, "-").alias("contract_agency_name"), text(CONTRACT_AGENCY_CODE_FIELDS).alias("contract_agency_code"),
         text(METHOD_FIELDS, "-").alias("contract_method"), F.nullif(text(TYPE_FIELDS), F.lit("")).alias("contract_type"), text(NO_FIELDS).alias("contract_no"), text(NOTICE_FIELDS).alias("notice_no"), text(DETAIL_URL_FIELDS).alias("contract_detail_url"), text(NOTICE_URL_FIELDS).alias("notice_detail_url"),
     )
 
 
-def delivery_details(items: DataFrame, numbers: DataFrame, row: str = "row") -> DataFrame:
-    """Third-party unit-price delivery details of the requested numbers as canonical rows; rows that lack a required field fall away."""
+def delivery_details(items: DataFrame, numbers: DataFrame, row: str = "row", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Third-party unit-price delivery details of the requested numbers as canonical rows, with the items' columns in ``carry``; rows that lack a required field fall away."""
     r = F.col(row)
     pick = lambda *keys: first_non_blank(r, list(keys))
     each = items.withColumn("biz_no", business_number(F.coalesce(r["cntrctCorpBizno"], F.lit("")))).join(numbers.select("biz_no").distinct(), "biz_no")
     amount = delivery_amount(pick("prdctAmt", "dlvrReqAmt"), pick("incdecAmt"))
     out = each.where(F.contains(pick("cntrctCnclsStleNm"), F.lit(THIRD_PARTY))).select(
-        F.lit(DELIVERY_DATASET).alias("source_dataset"), numbered_row_hash(r, F.col("biz_no")).alias("source_row_hash"), F.col("biz_no").alias("biz_no_normalized"), display_number(F.col("biz_no")).alias("biz_no_display"),
+        *carry, F.lit(DELIVERY_DATASET).alias("source_dataset"), numbered_row_hash(r, F.col("biz_no")).alias("source_row_hash"), F.col("biz_no").alias("biz_no_normalized"), display_number(F.col("biz_no")).alias("biz_no_display"),
         pick("corpNm").alias("business_name"), pick("dminsttRgnNm").alias("address"), F.lit("shopping_third_party").alias("business_category"), pick("dlvrReqNm").alias("notice_name"), pick("dlvrReqNo").alias("contract_no"),
         delivery_number(pick("dlvrReqNo"), pick("dlvrReqChgOrd"), pick("prdctSno")).alias("unified_contract_no"), pick("prdctIdntNoNm", "dtilPrdctClsfcNoNm", "prdctClsfcNoNm", "dlvrReqNm").alias("contract_name"),
         strict_date(pick("dlvrReqRcptDate", "IntlCntrctDlvrReqDate")).alias("contract_date"), amount.alias("current_contract_amount"), amount.alias("total_contract_amount"), pick("dminsttCd").alias("demand_agency_code"),
@@ -124,7 +121,7 @@ def delivery_details(items: DataFrame, numbers: DataFrame, row: str = "row") ->
 
 
 def product_deliveries(items: DataFrame, registry: DataFrame, code: str, row: str = "row") -> DataFrame:
-    """Final deliveries of one product by registered suppliers as competitor rows."""
+    """Final deliveries of one product by registered suppliers as competitor rows, one for each that the provider sends twice."""
     r = F.col(row)
     number = digits(text_or_empty(F.coalesce(r["bizno"], r["cntrctCorpBizno"])))
     keep = (compact_text(r["dtilPrdctClsfcNo"]) == code) & (compact_text(r["cntrctDivNm"]) == UNIT_PRICE) & (compact_text(r["cntrctDlvrDivNm"]) == DELIVERY) & (F.upper(compact_text(r["fnlCntrctDlvrReqChgOrdYn"])) == "Y")
@@ -135,7 +132,7 @@ def product_deliveries(items: DataFrame, registry: DataFrame, code: str, row: st
         delivery_id(F.col("biz_no"), no, r["cntrctDlvrReqChgOrd"], r["prdctIdntNo"], day, amount).alias("id"), "biz_no", display_number(F.col("biz_no")).alias("biz_no_display"), some(r["corpNm"], F.col("biz_no")).alias("business_name"),
         some(r["cntrctDlvrReqNm"], F.lit(f"{UNIT_PRICE} {DELIVERY}")).alias("contract_name"), F.array(F.lit(code)).alias("item_codes"), day.alias("contract_date"), amount.alias("current_contract_amount"), amount.alias("total_contract_amount"),
         text_or_empty(r["dminsttNm"]).alias("demand_agency_name"), F.lit(UNIT_PRICE).alias("contract_type"), no.alias("contract_no"), text_or_empty(r["uprcCntrctNo"]).alias("notice_no"), F.lit(DELIVERY_DATASET).alias("source_dataset"),
-    )
+    ).dropDuplicates(["id"])
 
 
 def combined_address(base: Column, detail: Column) -> Column:

@@ -74,6 +74,11 @@ def nested(ranked: DataFrame, sales: DataFrame, columns: list[str]) -> DataFrame
     return ranked.join(own, "supplier", "left").withColumn("contracts", F.coalesce("contracts", none))
 
 
+def estimated(kind: Column) -> Column:
+    """Aggregate: whether any of a company's contracts was split in equal shares, so that its total is an estimate."""
+    return F.coalesce(F.bool_or(kind == "equal-share"), F.lit(False))
+
+
 def unavailable(registry: DataFrame, status: str) -> DataFrame:
     """The registry without figures, for a period that is uncollected, being collected or failed."""
     none = lambda kind: F.lit(None).cast(kind)

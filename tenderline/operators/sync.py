@@ -7,6 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.errors import Unauthorized
+
 COUNTERS = ["pages", "fetched", "matched", "inserted", "updated", "skipped", "errors"]
 CATEGORIES = ["goods", "construction", "services", "foreign"]
 
@@ -29,6 +31,16 @@ def sources(category: str | None) -> list[str]:
     return ["standard", "shopping"] if category in (None, "", "all") else ["standard"]
 
 
+def months(date_from: date, date_to: date) -> list[tuple[date, date]]:
+    """Calendar months that a range meets, cut off at its ends."""
+    out, at = [], date_from
+    while at <= date_to:
+        after = date(at.year + at.month // 12, at.month % 12 + 1, 1)
+        out.append((at, min(after - timedelta(1), date_to)))
+        at = after
+    return out
+
+
 def refine(window: tuple[date, date]) -> list[tuple[date, date]]:
     """A window that is too large for the provider: a month becomes weeks, a week days, a day stays."""
     a, b = window
@@ -38,7 +50,7 @@ def refine(window: tuple[date, date]) -> list[tuple[date, date]]:
 
 
 def fetch_all(windows: list[tuple[date, date]], fetch) -> tuple[list, list]:
-    """(results, errors) of ``fetch(window)``; a ValueError for a range that is too large is answered by smaller ranges."""
+    """(results, errors) of ``fetch(window)``; a ValueError for a range that is too large is answered by smaller ranges. Errors are (window, error)."""
     out, errors, todo = [], [], list(windows)
     while todo:
         w = todo.pop(0)
@@ -46,17 +58,23 @@ def fetch_all(windows: list[tuple[date, date]], fetch) -> tuple[list, list]:
             out.append(fetch(w))
         except ValueError as e:
             if w[0] == w[1]:
-                errors.append((w, str(e)))
+                errors.append((w, e))
             else:
                 todo = refine(w) + todo
         except Exception as e:  # noqa: BLE001  one window's failure does not end the others
-            errors.append((w, str(e)))
+            errors.append((w, e))
     return out, errors
 
 
-def fallback_plan(windows: DataFrame, categories: list[str] = CATEGORIES) -> DataFrame:
-    """Every window with every category: two parameter lists, one of them of four entries."""
-    return windows.withColumn("category", F.explode(F.array(*map(F.lit, categories))))
+def unauthorized_only(pages: int, errors: list) -> bool:
+    """Whether nothing came and every error was a refused key: then another source is asked instead."""
+    return not pages and bool(errors) and all(isinstance(e, Unauthorized) for _, e in errors)
+
+
+def item_counts(items: DataFrame, mapped: DataFrame, item: list[str]) -> DataFrame:
+    """One row: fetched items, matched rows, and items that made no row, each counted once."""
+    made = mapped.groupBy(*item).agg(F.count("*").alias("n"))
+    return items.select(*item).join(made, item, "left").agg(F.count("*").alias("fetched"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("matched"), F.count_if(F.col("n").isNull()).alias("skipped"))
 
 
 def header_matches(headers: DataFrame, number: str, request: str, method: str, needle: str) -> DataFrame:

@@ -39,10 +39,14 @@ def original_first(rows: DataFrame, key: str, order: str, date: str, total: str)
     A version is (order, date, total), null-safe; the total breaks ties of order and date.
     """
     is_original = F.coalesce(F.col(order), F.lit(0)) == 0
-    by = Window.partitionBy(key)
-    some = rows.withColumn("_any", F.max(is_original).over(by)).where(is_original | ~F.col("_any")).drop("_any")
-    best = by.orderBy(*_newest(order, date, F.col(total).desc_nulls_last()))
-    top = some.withColumn("_v", F.first(F.struct(F.col(order).alias("o"), F.col(date).alias("d"), F.col(total).alias("t"))).over(best))
+    some = rows.withColumn("_any", F.max(is_original).over(Window.partitionBy(key))).where(is_original | ~F.col("_any")).drop("_any")
+    return newest_equal(some, key, order, date, total)
+
+
+def newest_equal(rows: DataFrame, key: str, order: str, date: str, total: str) -> DataFrame:
+    """The rows of each key whose (order, date, total) is that of its newest row, the greatest total on ties; null-safe."""
+    best = Window.partitionBy(key).orderBy(*_newest(order, date, F.col(total).desc_nulls_last()))
+    top = rows.withColumn("_v", F.first(F.struct(F.col(order).alias("o"), F.col(date).alias("d"), F.col(total).alias("t"))).over(best))
     same = F.col(order).eqNullSafe(F.col("_v.o")) & F.col(date).eqNullSafe(F.col("_v.d")) & F.col(total).eqNullSafe(F.col("_v.t"))
     return top.where(same).drop("_v")
 
@@ -95,6 +99,6 @@ def removed_suppliers(latest: DataFrame, key: str, has_requested: Column, known:
     return latest.groupBy(key).agg(F.max(has_requested).alias("held")).where("not held").join(known.select(key).distinct(), key, "left_semi").select(key)
 
 
-def dedupe(rows: DataFrame, fingerprint: Column) -> DataFrame:
-    """One of the rows with equal fingerprints."""
-    return rows.withColumn("_fp", fingerprint).dropDuplicates(["_fp"]).drop("_fp")
+def dedupe(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One of the rows that are equal in ``columns``. The columns themselves are the keys, so no text is made and hashed of them."""
+    return rows.dropDuplicates(columns)

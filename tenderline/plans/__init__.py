@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _all() -> list[Callable]:
-    from . import records, sales, scalars, streams
+    from . import provider, records, sales, scalars, streams
 
-    return [*sales.QUERIES, *records.QUERIES, *scalars.QUERIES, *streams.QUERIES]
+    return [*sales.QUERIES, *records.QUERIES, *scalars.QUERIES, *provider.QUERIES, *streams.QUERIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,7 +26,7 @@ def _tie() -> list:
 
 def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry sales of the year's contracts."""
-    heads = contracts(spark, sf_dir).where(F.year("signed") == YEAR)
+    heads = contracts(spark, sf_dir, YEAR)
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_type")
     rows = _rows(spark, sf_dir).join(heads, "contract").withColumnsRenamed({"yr": "date", "ceiling": "total"}).join(parts, "part")
     return overview.registry_sales(rows, registry_keys(spark, sf_dir), F.col("p_type") == "PROMO", [F.col("part").desc(), F.col("ship").desc()])
@@ -99,7 +99,7 @@ SELECT contract, supplier, ord, yr, amount, part, ship FROM r WHERE rn = 1"""
 
 
 def original_first_versions(spark, sf_dir):
-    heads = contracts(spark, sf_dir).where(F.year("signed") == YEAR).select("contract", "ceiling")
+    heads = contracts(spark, sf_dir, YEAR).select("contract", "ceiling")
     rows = _rows(spark, sf_dir).join(heads, "contract")
     return versions.original_first(rows, "contract", "ord", "yr", "ceiling").select("contract", "supplier", "ord", "yr", "amount", "part", "ship")
 
@@ -132,6 +132,23 @@ e AS (SELECT contract, sum(amount) AS a, max(ceiling) AS c, max(ship) AS d FROM
 SELECT count(*) AS contract_count, coalesce(sum(least(a, c)), 0)::BIGINT AS total_amount, max(d) AS latest_contract_date, (SELECT count(DISTINCT agency) FROM l) AS notice_linked_count FROM e"""
 
 
+def summary_of_equal_versions(spark, sf_dir):
+    """Rows of a contract's newest version count only where their total is the newest row's too; notices by their identity."""
+    from ..functions.identity import notice_identity
+    from ..operators.search import capped_summary
+
+    rows = _rows(spark, sf_dir).join(contracts(spark, sf_dir).select("contract", "ceiling", "agency"), "contract").withColumn("stated", F.when(F.col("part") % 5 != 0, F.col("ceiling") + F.col("part") % 2))
+    number = F.when(F.col("part") % 3 == 0, F.concat(F.lit(" N"), F.col("agency"), F.lit(" ")))
+    rows = rows.withColumn("notice", notice_identity(number, F.when(F.col("part") % 3 == 1, F.concat(F.lit("HTTP://x/"), F.col("agency")))))
+    return capped_summary(versions.newest_equal(rows, "contract", "ord", "yr", "stated"), "contract", "amount", "stated", "notice", "ship")
+
+
+summary_of_equal_versions.sql = f"""WITH {ROWS}, r AS (SELECT *, CASE WHEN part % 5 <> 0 THEN ceiling + part % 2 END AS stated, CASE part % 3 WHEN 0 THEN 'notice:n' || agency WHEN 1 THEN 'notice-url:http://x/' || agency END AS notice FROM rows JOIN heads USING (contract)),
+l AS (SELECT *, rank() OVER (PARTITION BY contract ORDER BY ord DESC, yr DESC, stated DESC NULLS LAST) AS rk FROM r),
+e AS (SELECT contract, sum(amount) AS a, max(stated) AS c, max(ship) AS d FROM l WHERE rk = 1 GROUP BY contract)
+SELECT count(*) AS contract_count, coalesce(sum(least(a, coalesce(c, a))), 0)::BIGINT AS total_amount, max(d) AS latest_contract_date, (SELECT count(DISTINCT notice) FROM l WHERE rk = 1) AS notice_linked_count FROM e"""
+
+
 def _suppliers(spark, sf_dir, reported: bool) -> DataFrame:
     """One row for each contract and supplier: amount (or null), rate (null), ceiling and current (half of it)."""
     each = _rows(spark, sf_dir).groupBy("contract", "supplier").agg(F.sum("amount").cast("double").alias("amount"))
@@ -225,10 +242,8 @@ SELECT c.contract, supplier, ord, yr, amount, part, ship FROM c JOIN n USING (co
 
 
 def row_dedupe_fingerprint(spark, sf_dir):
-    from ..functions.identity import sha
-
-    rows = _rows(spark, sf_dir).select("contract", "supplier", "ord", "yr", "amount", "part", "ship")
-    return versions.dedupe(rows, sha(*(F.col(c) for c in rows.columns)))
+    columns = ["contract", "supplier", "ord", "yr", "amount", "part", "ship"]
+    return versions.dedupe(_rows(spark, sf_dir).select(*columns), columns)
 
 
 row_dedupe_fingerprint.sql = f"WITH {ROWS} SELECT DISTINCT contract, supplier, ord, yr, amount, part, ship FROM rows"
@@ -262,5 +277,5 @@ workbook_details.sql = f"WITH {COMPANIES} SELECT r.rank, s.supplier, s.contract,
 
 QUERIES = [
     company_sales_ranking, overall_sales_totals, source_row_counts, company_contracts, latest_amendment_with_ties, latest_amendment_single, original_first_versions, capped_contract_rollup, capped_search_summary,
-    equal_share_attribution, reported_attribution, rate_attribution, supplier_expansion, origin_in_period, newer_version_antijoin, row_dedupe_fingerprint, removed_supplier_groups, workbook_summary, workbook_details,
+    summary_of_equal_versions, equal_share_attribution, reported_attribution, rate_attribution, supplier_expansion, origin_in_period, newer_version_antijoin, row_dedupe_fingerprint, removed_supplier_groups, workbook_summary, workbook_details,
 ]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, dates, identity, text
 from ..operators import export
 from ..sources import envelope
+from ..sources.registry import SUPPLIERS
 from ..sources.tables import table
 
 TEXTS = ["물품", " goods ", "공사", "Construction", "용역", "SERVICE", "외자", "foreign", "other", None]
@@ -200,7 +201,7 @@ def designation_ends(spark, sf_dir):
     return registry(spark).select("biz_no", "display_order", "designation_start", "designation_end")
 
 
-designation_ends.sql = None
+designation_ends.sql = "SELECT biz_no, display_order, s AS designation_start, (s + INTERVAL 6 YEAR - INTERVAL 1 DAY)::DATE AS designation_end FROM (VALUES " + ", ".join(f"('{b}', {k}::INT, DATE '{d}')" for k, (_, b, _, d) in enumerate(SUPPLIERS, 1)) + ") AS v(biz_no, display_order, s)"
 
 QUERIES = [
     category_normalise, amount_parse_paths, date_parse_paths, corp_list_parse, envelope_explode, keyword_classify, redact_secrets, url_query_extract, source_row_hash, contract_key_fallback, delivery_identities,

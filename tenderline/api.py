@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import dates
 from .functions.identity import item_codes, overview_identity
 from .functions.text import parse_numbers
-from .operators import attribution, export, mappers, merge, overview, search, sync, versions
+from .operators import attribution, export, mappers, merge, overview, runs, search, sync, versions
 from .operators.merge import Snapshot
 from .sources import envelope
 from .sources.csv_index import OPTIONAL, REQUIRED, read_index
@@ -74,6 +74,14 @@ class Engine:
         self.records, self.businesses = Snapshot(spark, f"{self.root}/contract_records"), Snapshot(spark, f"{self.root}/businesses")
         self.runs_path, self.logs_path = f"{self.root}/import_runs", f"{self.root}/enrichment_logs"
 
+    def init(self) -> list[str]:
+        """Makes the tables that are not there yet, without rows; returns their names."""
+        missing = [name for name, t in (("contract_records", self.records), ("businesses", self.businesses)) if not t.version()]
+        if missing:
+            # Both tables are written by one merge of no rows, which leaves rows that are there as they are.
+            self._stored(self.spark.createDataFrame([], "source_dataset string, source_row_hash string, biz_no_normalized string, biz_no_display string"), "csv")
+        return missing
+
     def _stored(self, rows: DataFrame, run: str) -> dict[str, int]:
         """Merges canonical rows: records by their hash, businesses by number and source priority."""
         now = F.current_timestamp()
@@ -163,6 +171,8 @@ class Engine:
         linked = F.col("notice_no").isNotNull() | F.col("notice_detail_url").isNotNull()
         return search.summary(found, F.col("total_contract_amount"), F.col("current_contract_amount"), linked, "contract_date")
 
+    flags = staticmethod(runs.flags)
+
     def health(self) -> DataFrame:
         return search.health(self.records.read(), self.spark.read.parquet(self.runs_path), "finished_at")
 

@@ -131,5 +131,11 @@ def period(kind: str, year: int, month: int | None = None, quarter: int | None =
     return Period(kind, year, month, quarter, start, min(after - timedelta(days=1), today))
 
 
+def sheet_date(c: Column) -> Column:
+    """The day that a text of the form 2026-01-31 names, for a date cell; null for another form, a day that is none, or a year below 100."""
+    day = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
+    return F.when(F.year(day) >= 100, day)
+
+
 def available_years(now: datetime | None = None, first: int = 2020) -> list[int]:
     return list(range(today_in_seoul(now).year, first - 1, -1))

@@ -236,7 +236,18 @@ def code_unions(spark, sf_dir):
 
 code_unions.sql = "SELECT p_partkey, '3912180101,' || lpad(p_partkey::VARCHAR, 10, '0') || CASE WHEN p_partkey % 2 = 0 THEN ',3912180199' ELSE '' END AS codes FROM part"
 
+CELLS = ["2026-01-31", "2026-02-30", "2024-02-29", "2026-1-31", "20260131", "", "0000-01-01", "2026-12-31 "]
+
+
+def sheet_dates(spark, sf_dir):
+    """Texts as the dates of a sheet's cells."""
+    return table(spark, sf_dir, "part").select("p_partkey", dates.sheet_date(_variant(F.col("p_partkey"), CELLS)).alias("day"))
+
+
+sheet_dates.sql = f"""WITH v AS (SELECT p_partkey, {_sql_variant('p_partkey', CELLS)} AS t FROM part)
+SELECT p_partkey, CASE WHEN regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND left(t, 2) <> '00' THEN try_cast(t AS DATE) END AS day FROM v"""
+
 QUERIES = [
     group_versions, summary_identities, delivery_detail_rows, product_delivery_rows, lookup_enrichment, valid_cache_entries, preserved_prefixes, replaced_ranges, partial_presence, seoul_days, addresses_and_codes, isolated_errors,
-    registry_without_figures, index_lines, item_counters, typed_dates_and_messages, raw_payload_hashes, estimated_companies, code_unions,
+    registry_without_figures, index_lines, item_counters, typed_dates_and_messages, raw_payload_hashes, estimated_companies, code_unions, sheet_dates,
 ]

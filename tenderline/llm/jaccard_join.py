@@ -12,7 +12,7 @@ Two documents link when ``den * |intersection| >= num * |union|`` of their shing
    have no filled part in common; such sets also send the shingles of least hash, so many that linked sets have one of them in common.)
    So linked sets stay and share a key, and sets that share a passage mostly leave. Rows with equal keys are chained to the first of them.
 3. The chains' components are clusters that no link leaves. In each, a set looks for the earlier (not larger) ones that
-   share at least T shingles with it: a heap merges the short inverted lists, skipping ids that too few lists can hold; the L longest
+   share at least T shingles with it (T follows from its size and the least size that can link): a heap merges the short inverted lists, skipping ids that too few lists can hold; the L longest
    (DivideSkip) are probed by binary search for the sets that reached T - L. Sets whose component is already joined to the
    asking one need no search, so a task returns a spanning forest of its links.
    A cluster of more than ``CLUSTER`` shingles is cut into blocks that are searched together with one small hub; what the
@@ -53,7 +53,7 @@ HUB = 4
 #: Rows from which a component counts as hot: its rows are not dealt by its name.
 HOT_ROWS = 1000
 #: Weight of a binary probe against a merged entry in the choice of L.
-MU = 0.01
+MU = 0.002
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,10 +267,13 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
         left += 1
         sl = slice(ends[q] - size[q], ends[q])
         start, length = start_of[sl], before[sl]
-        least = -(-num * size[q] // den)  # of a linked set's size, and so of the common shingles
+        low = int(np.searchsorted(size, -(-num * size[q] // den)))
+        if low == q:
+            continue
+        # Common shingles that the smallest set not too small to link needs; the larger ones need no fewer.
+        least = int(-(-num * (size[q] + size[low]) // (num + den)))
         if np.count_nonzero(length) < least:
             continue
-        low = int(np.searchsorted(size, least))
         start, where, weight = np.unique(start, return_index=True, return_counts=True)
         length = length[where]
         by = np.argsort(length, kind="stable")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 import zlib
@@ -90,9 +91,40 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is not in ``dropped``. A short list is broadcast, so the rows are not shuffled; a longer one is joined by a shuffle."""
-    return rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, key, "left_anti")
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver's JVM finds nothing that names them; here it looks now, not when its heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_PLACE = "cast(`{0}` & 63 as int)"
+
+
+def marks(spark: SparkSession, numbers: DataFrame, key: str) -> DataFrame:
+    """A written table: one row for each 64 neighbouring numbers of which some occur, with their bits."""
+    word, bits = F.expr(f"shiftright(`{key}`, 6)").alias("_word"), F.expr(f"bit_or(shiftleft(1L, {_PLACE.format(key)}))").alias("_bits")
+    return materialize(spark, numbers.groupBy(word).agg(bits), "marks")
+
+
+def among(spark: SparkSession, rows: DataFrame, numbers: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """The rows whose key, a row number, is in ``numbers``, or not.
+
+    A short list is broadcast. Of a longer one the bits are, as neighbouring rows have neighbouring numbers: so the rows are not shuffled
+    either. Only where there are too many bits, they are joined by a shuffle.
+    """
+    how = "left_semi" if inside else "left_anti"
+    if numbers.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(numbers.select(key)), key, how)
+    bits = marks(spark, numbers, key)
+    if bits.count() > BROADCAST_ROWS:
+        return rows.join(numbers.select(key), key, how)
+    found = rows.join(F.broadcast(bits), F.expr(f"shiftright(`{key}`, 6)") == F.col("_word"), "left")
+    return found.where(F.expr(f"coalesce(getbit(_bits, {_PLACE.format(key)}), 0) = {int(inside)}")).drop("_word", "_bits")
+
+
+def without(spark: SparkSession, rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ``dropped``."""
+    return among(spark, rows, dropped, key, inside=False)
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -200,7 +200,7 @@ def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
     local = locally(spark, docs, carry=carry)
     dropped = materialize(spark, resolved(spark, local).where("rid != r").select("rid"), "exact-dropped")
     own = iter(range(len(carry)))
-    return without(local, dropped, "rid").select(*(F.col(n if n in same else f"_{next(own)}").alias(n) for n in names))
+    return without(spark, local, dropped, "rid").select(*(F.col(n if n in same else f"_{next(own)}").alias(n) for n in names))
 
 
 SQL = r"""

@@ -34,7 +34,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blocks, col, materialize, mix, pack, parallelism, raw_texts, run_hashes, without, word_hashes, word_spans
+from .common import BROADCAST_ROWS, among, blocks, col, materialize, mix, pack, parallelism, raw_texts, recorded, release, remove, run_hashes, unread, without, word_hashes, word_spans
 from .components import components
 
 BLOCK_BYTES = 1 << 20
+#: The keys are shuffled in so many slices, one after the other, where there are more shingles than that: most keys are no
+#: other set's, and the files of a slice go before the next one is made.
+SLICES, SLICED = 4, 2_000_000
 #: Shingles of a cluster that one task holds.
 CLUSTER = 1_000_000
 #: The hub is this part of a block.
@@ -150,10 +153,15 @@ def _numbered(k: int, names: list[str]):
     return run
 
 
-def _keyed(k: int, num: int, den: int):
+def _keyed(k: int, num: int, den: int, slices: int, mine: int):
+    """The keys that fall into slice ``mine``, by their lowest bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text", BLOCK_BYTES):
             key, at, allow = keys(*shingle_sets(raw_texts(b, "_text"), k), num, den)
+            if slices > 1:
+                some = np.flatnonzero(key % np.uint64(slices) == np.uint64(mine))
+                key, at, allow = key[some], at[some], allow[some]
             rid = 2 * b.column("_rid").to_numpy()[at >> 1] + (at & 1)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid), pa.array(allow.astype(np.int32))], names=["key", "rid", "allow"])
 
@@ -182,6 +190,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared_before = [key[-1]] if keep[-1] else []
 
 
+def _candidates(spark: SparkSession, numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """A written table of the keys (key, rid, allow) that several sets have."""
+    sets = numbered.where("_rep = _rid and _n > 0")
+    slices = SLICES if (sets.agg(F.sum("_n")).first()[0] or 0) > SLICED else 1
+    found = []
+    for mine in range(slices):
+        keyed = sets.select("_rid", "_text").mapInArrow(_keyed(k, num, den, slices, mine), _KEYED)
+        found.append(materialize(spark, keyed.repartition(parallelism(spark), "key").sortWithinPartitions("key").mapInArrow(_shared, _KEYED), "shared"))
+        release(spark)
+    return reduce(DataFrame.union, found)
+
+
 def _remaining(spark: SparkSession, shared: DataFrame, rounds: int = 2) -> DataFrame:
     """The shared rows of the sets whose shared keys exceed what is allowed, asked ``rounds`` times."""
     for _ in range(rounds):
@@ -189,6 +209,7 @@ def _remaining(spark: SparkSession, shared: DataFrame, rounds: int = 2) -> DataF
         left = shared.join(some, "rid", "left_semi")
         lists = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         shared = materialize(spark, left.join(lists, "key", "left_semi").select("key", "rid", "allow"), "shared")
+        release(spark)
     return shared
 
 
@@ -365,10 +386,10 @@ def number(spark: SparkSession, docs: DataFrame, carry: list[str], k: int, text:
 
 def grouped(spark: SparkSession, numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """_rid, component_id, kept for each row of the written table: the component's least id, and one row of those with that id."""
-    parts = parallelism(spark)
-    keyed = numbered.where("_rep = _rid and _n > 0").select("_rid", "_text").mapInArrow(_keyed(k, num, den), _KEYED)
-    shared = materialize(spark, keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, _KEYED), "shared")
-    shared = materialize(spark, _remaining(spark, shared).select("key", F.shiftright("rid", 1).alias("a")), "shared")
+    with recorded() as paths:
+        shared = _remaining(spark, _candidates(spark, numbered, k, num, den))
+        shared = materialize(spark, shared.select("key", F.shiftright("rid", 1).alias("a")), "shared")
+    remove(spark, unread(paths, shared))
     clusters = _chained(spark, shared)
     links = _links(spark, numbered, shared, clusters, k, num, den)
     comps = components(spark, links)
@@ -434,8 +455,11 @@ def _links(spark: SparkSession, numbered: DataFrame, shared: DataFrame, clusters
 def _found(spark: SparkSession, numbered: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) of the sets that meet in a group (v, g)."""
     members = materialize(spark, groups.select(F.col("v").alias("_rid"), "g"), "clusters")
-    few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    texts = numbered.select("_rid", "_text").join(few, "_rid")
+    texts = numbered.select("_rid", "_text")
+    if members.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(members), "_rid")
+    else:  # only the members' texts move
+        texts = among(spark, texts, members.select("_rid").distinct(), "_rid").join(members, "_rid")
     dealt = texts.select("g", "_rid", "_text").repartition(parallelism(spark), "g").sortWithinPartitions("g")
     return dealt.mapInArrow(_searched(k, num, den), "a long, b long")
 
@@ -455,7 +479,7 @@ def keep(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: i
     numbered = number(spark, docs, carry, k, "text", "doc_id")
     dropped = materialize(spark, grouped(spark, numbered, k, num, den).where("not kept").select("_rid"), "near-dropped")
     own = iter(range(len(carry)))
-    return without(numbered, dropped, "_rid").select(*(F.col(same[n] if n in same else f"_{next(own)}").alias(n) for n in names))
+    return without(spark, numbered, dropped, "_rid").select(*(F.col(same[n] if n in same else f"_{next(own)}").alias(n) for n in names))
 
 
 SQL = r"""

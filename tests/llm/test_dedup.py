@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenderline.llm import components, exact_dedup, jaccard_join, queries, suffix_dedup
-from tenderline.llm.common import table
+from tenderline.llm import common, components, exact_dedup, jaccard_join, queries, suffix_dedup
+from tenderline.llm.common import materialize, table
 
 from ..compare import duck, same
 from . import cases
@@ -155,6 +155,37 @@ def test_jaccard(spark, monkeypatch, k, num, cluster):
     assert got == jaccard_brute(rows, k, num, 100)
 
 
+def test_jaccard_slices(spark, monkeypatch):
+    """The keys of a large table are shuffled slice by slice, and long lists of rows move no other texts; neither changes the result."""
+    rows = [(i, cases.words(60, 500 + i // 3) + " tail" * (i % 2)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    numbered = jaccard_join.number(spark, docs, ["doc_id"], 3, "text", "doc_id")
+    whole = {tuple(r) for r in jaccard_join._candidates(spark, numbered, 3, 90, 100).collect()}
+    monkeypatch.setattr(jaccard_join, "SLICED", 0)
+    written = []
+    monkeypatch.setattr(jaccard_join, "materialize", lambda spark, df, name: (written.append((name, out := materialize(spark, df, name))), out)[1])
+    cut = jaccard_join._candidates(spark, numbered, 3, 90, 100)
+    slices = [{r.key % jaccard_join.SLICES for r in t.collect()} for n, t in written if n == "shared"]
+    assert slices == [{k} for k in range(jaccard_join.SLICES)]
+    assert {tuple(r) for r in cut.collect()} == whole
+    for m in (common, jaccard_join):
+        monkeypatch.setattr(m, "BROADCAST_ROWS", 4)
+    assert Counter(tuple(r) for r in jaccard_join.op(spark, docs).collect()) == jaccard_brute(rows, 3, 90, 100)
+
+
+@pytest.mark.parametrize("most", [4, 30, 500])
+def test_among(spark, monkeypatch, most):
+    """The three ways to find rows by number give the same, and the bits move no row."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    numbers = [*range(0, 900, 7), 63, 64, 127, *range(5 << 40, (5 << 40) + 70)]
+    rows = spark.createDataFrame([(x, str(x)) for x in [*range(900), *range(5 << 40, (5 << 40) + 99)]], "n long, t string")
+    picked = spark.createDataFrame([(x,) for x in numbers], "n long")
+    inside, outside = common.among(spark, rows, picked, "n"), common.without(spark, rows, picked, "n")
+    assert {r.n for r in inside.collect()} == set(numbers) and inside.columns == rows.columns == outside.columns
+    assert {r.n for r in outside.collect()} == {r.n for r in rows.collect()} - set(numbers)
+    assert most == 4 or "SortMergeJoin" not in outside._jdf.queryExecution().executedPlan().toString()
+
+
 def test_jaccard_query(spark, sf_dir):
     got = Counter(tuple(r) for r in queries.queries()["op6_jaccard_join"](spark, sf_dir).collect())
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]

@@ -2,9 +2,9 @@
 
 Two multinomials over hashed byte n-grams are counted: one over the whole raw corpus, one over trusted texts. A document's
 score is the mean over its n-grams of log P(trusted) - log P(raw), so it does not depend on length. Trusted texts are
-documents that the labels call good; at most ``SAMPLE`` labelled ids of either kind are used, those with the least hash
-of their id. The threshold is the score that best tells the two kinds of labelled texts apart, and every document is
-held against it.
+all documents that the labels call good. The threshold is the score that best tells all labelled texts of the two kinds apart,
+and every document is held against it. Labels meet documents by a join on their ids: a short list of labels is broadcast, a long
+one shuffled with the labelled texts.
 
 Zero bytes count as ordinary characters. Defined results: null text is empty and has no word, so the rules reject it;
 null or repeated ids do not matter to a row's result (labels join by id only to pick trusted texts); without labels of
@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_POINT, IS_SPACE, SPACES, blocks, col, lookup, pack, raw_texts, run_hashes, spans_sum, word_hashes, word_spans
+from .common import BROADCAST_ROWS, IS_POINT, IS_SPACE, SPACES, among, blocks, col, lookup, materialize, pack, raw_texts, release, run_hashes, spans_sum, word_hashes, word_spans
 
 #: Buckets of the hashed n-grams (their counts come to the driver: at most this many rows) and bytes of an n-gram.
 BUCKETS, NGRAM = 1 << 16, 4
-#: Labelled ids of either kind, at most.
-SAMPLE = 20_000
 #: Added to every bucket's count.
 SMOOTH = 0.5
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -97,23 +95,27 @@ def measure(texts: list[bytes], weights: np.ndarray | None) -> list[pa.Array]:
     return [pa.array(n_words, pa.int64()), pa.array(chars, pa.int64()), pa.array(symbols, pa.int64()), pa.array(dup, pa.int64()), pa.array(n_rep, pa.int64()), pa.array(ratio, pa.float64())]
 
 
-def _count(trusted: frozenset):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in blocks(batches, "text", BLOCK_BYTES):
-            texts = raw_texts(b)
-            for into, some in ((raw, texts), (good, [t for t, i in zip(texts, b.column("doc_id").to_pylist(), strict=True) if i in trusted])):
-                buf, starts, ends = pack(some, NGRAM)
-                if len(buf) >= NGRAM:
-                    inside = np.zeros(len(buf) + 1, np.int8)
-                    np.add.at(inside, starts, 1)
-                    np.add.at(inside, ends, -1)
-                    g = buckets(buf)
-                    into += np.bincount(g[np.cumsum(inside[: len(g)]) > 0], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(good[some])], names=["b", "raw", "good"])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """b, n: how many n-grams of a task's texts fall into each bucket."""
+    total = np.zeros(BUCKETS, np.int64)
+    for b in blocks(batches, "text", BLOCK_BYTES):
+        buf, starts, ends = pack(raw_texts(b), NGRAM)
+        if len(buf) >= NGRAM:
+            inside = np.zeros(len(buf) + 1, np.int8)
+            np.add.at(inside, starts, 1)
+            np.add.at(inside, ends, -1)
+            g = buckets(buf)
+            total += np.bincount(g[np.cumsum(inside[: len(g)]) > 0], minlength=BUCKETS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["b", "n"])
 
-    return run
+
+def counted(texts: DataFrame) -> np.ndarray:
+    """n-grams of all texts in each bucket."""
+    out = np.zeros(BUCKETS)
+    for r in texts.select("text").mapInArrow(_count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        out[r["b"]] = r["n"]
+    return out
 
 
 def _measured(weights: np.ndarray, names: list[str]):
@@ -125,38 +127,37 @@ def _measured(weights: np.ndarray, names: list[str]):
     return run
 
 
-def sample_labels(labels: DataFrame, most: int = SAMPLE) -> dict[int, int]:
-    """doc_id -> quality of at most ``most`` labelled ids of each kind, those with the least hash; ids with both labels count as bad."""
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return {r["doc_id"]: q for q in (0, 1) for r in one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()}
+def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, quality of every document whose id has a label; ids with both labels count as bad."""
+    one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    one = materialize(spark, one.where("quality in (0, 1)"), "rules-labels")
+    if one.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(one), "doc_id").select("text", "quality")
+    known = materialize(spark, among(spark, docs, one, "doc_id").join(one, "doc_id").select("text", "quality"), "rules-labelled")
+    release(spark)
+    return known
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """(weight of each bucket, threshold)."""
-    kinds = sample_labels(labels)
-    trusted = frozenset(i for i, q in kinds.items() if q == 1)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = ids.mapInArrow(_count(trusted), "b int, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts:
-        raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = labelled(spark, texts, labels)
+    raw, good = counted(texts), counted(known.where("quality = 1"))
     # Buckets that the corpus never uses take no part, so the ratio does not drift with their number.
     used = raw > 0
     weights = np.zeros(BUCKETS)
     if good.sum():
         weights[used] = np.log((good[used] + SMOOTH) / (good.sum() + SMOOTH * used.sum())) - np.log((raw[used] + SMOOTH) / (raw.sum() + SMOOTH * used.sum()))
-    if len(set(kinds.values())) < 2:
-        return weights, -float("inf")
 
     def scores(batches):
         for b in blocks(batches, "text", BLOCK_BYTES):
-            some = [(t, kinds[i]) for t, i in zip(raw_texts(b), b.column("doc_id").to_pylist(), strict=True) if i in kinds]
-            m = measure([t for t, _ in some], weights)
+            m = measure(raw_texts(b), weights)
             ok = [x >= LEAST_WORDS and 100 * r <= MOST_REPEATED * x for x, r in zip(m[0].to_pylist(), m[4].to_pylist(), strict=True)]
-            ratio = np.round(m[5].to_numpy() / STEP).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([q for (_, q), k in zip(some, ok, strict=True) if k], pa.int32()), pa.array([int(r) for r, k in zip(ratio, ok, strict=True) if k], pa.int64())], names=["q", "s"])
+            steps = np.round(m[5].to_numpy() / STEP).astype(np.int64)
+            some = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("quality").filter(some), pa.array(steps).filter(some)], names=["q", "s"])
 
-    held = ids.mapInArrow(scores, "q int, s long").groupBy("q", "s").count().collect()
+    held = known.mapInArrow(scores, "q int, s long").groupBy("q", "s").count().collect()
     return weights, _threshold(held) * STEP
 
 
@@ -165,7 +166,7 @@ STEP = 0.001
 
 
 def _threshold(held: list) -> float:
-    """The middle of the best cut: most good above plus most bad below. At most a few thousand distinct steps come here."""
+    """The middle of the best cut: most good above plus most bad below. The distinct steps are bounded by the scores' range, however many texts there are."""
     by = {q: np.array(sorted((r["s"], r["count"]) for r in held if r["q"] == q)).reshape(-1, 2) for q in (0, 1)}
     if not len(by[0]) or not len(by[1]):
         return -float("inf")
@@ -179,7 +180,7 @@ def _threshold(held: list) -> float:
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The columns in ``carry`` (doc_id), the counts, ratio, threshold, base_failed and kept."""
-    weights, threshold = fit(docs, labels)
+    weights, threshold = fit(spark, docs, labels)
     carry = ["doc_id"] if carry is None else carry
     own = [f"_{k}" for k in range(len(carry))]
     rows = docs.select(*(col(c).alias(o) for c, o in zip(carry, own, strict=True)), F.col("text").cast("string").alias("_text"))

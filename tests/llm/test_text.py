@@ -61,6 +61,20 @@ def test_rules_cases(spark):
     assert quality_rules.judge(spark, cases.empty(spark), labels).count() == 0
 
 
+def test_rules_learn_from_all_labels(spark, monkeypatch):
+    """With every document trusted the two multinomials are equal, however many there are; a long list of labels gives the same as a short one."""
+    ids = spark.range(24_000).withColumnRenamed("id", "doc_id")
+    docs = ids.select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("text"))
+    weights, cut = quality_rules.fit(spark, docs, ids.withColumn("quality", F.lit(1)))
+    assert np.allclose(weights, 0, atol=1e-12) and cut == -math.inf
+    both = ids.withColumn("quality", (F.col("doc_id") % 3 > 0).cast("int"))
+    texts = docs.withColumn("text", F.when(F.col("doc_id") % 3 > 0, F.concat_ws(" good", F.split(F.substring("text", 1, 40), ""))).otherwise(F.concat_ws(" ", F.split(F.substring("text", 1, 40), ""))))
+    short = quality_rules.fit(spark, texts, both)
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 5000)
+    long = quality_rules.fit(spark, texts, both)
+    assert np.array_equal(short[0], long[0]) and short[1] == long[1] and np.isfinite(long[1])
+
+
 @pytest.mark.parametrize("flipped", [0, 10, 30])
 def test_rules_threshold_with_flipped_labels(flipped):
     rng = np.random.default_rng(3)

@@ -283,7 +283,7 @@ OFTEN = 16
 
 def _sums(rows: np.ndarray, sym: np.ndarray, n: int) -> np.ndarray:
     """The sums of the rows of each symbol below ``n``."""
-    order = np.argsort(sym, kind="stable")
+    order = np.argsort(sym.astype(np.int16) if n < 1 << 15 else sym, kind="stable")  # short numbers are sorted by radix
     sym, rows = sym[order], rows.take(order, 0)
     head = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
     count = np.diff(np.append(head, len(sym)))
@@ -330,7 +330,8 @@ def gradient(p: dict, sym: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> tup
     loss = -np.log(dc[rows, y] + kind(1e-30)).sum()
     dc[rows, y] -= 1
     dc /= m
-    d = {"c": gs.T @ dc, "cb": dc.sum(0), "s": np.zeros_like(p["s"]), "sb": np.zeros_like(p["sb"])}
+    ones = np.ones(len(g), g.dtype)
+    d = {"c": gs.T @ dc, "cb": ones[: len(dc)] @ dc, "s": np.zeros_like(p["s"]), "sb": np.zeros_like(p["sb"])}
     back = dc @ p["c"].T
     begin = np.searchsorted(y, np.arange(CLASSES + 1)).tolist()
     parts = [(c, slice(begin[c], begin[c + 1])) for c in range(CLASSES) if begin[c] < begin[c + 1]]
@@ -343,14 +344,14 @@ def gradient(p: dict, sym: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> tup
     ds[rows, u] -= 1
     ds /= m
     for c, i in parts:
-        d["s"][c], d["sb"][c] = gs[i].T @ ds[i], ds[i].sum(0)
+        d["s"][c], d["sb"][c] = gs[i].T @ ds[i], ones[i] @ ds[i]
         back[i] += ds[i] @ p["s"][c].T
     dg = np.zeros_like(g)
     dg[order] = back
     d["w2"] = f.T @ dg
     df = dg @ p["w2"].T
     df *= f > 0
-    d["w1"], d["b1"] = h.T @ df, df.sum(0)
+    d["w1"], d["b1"] = h.T @ df, ones @ df
     dh = df @ p["w1"].T
     dh += dg
     dh = dh.reshape(n, w, WIDTH)
@@ -512,9 +513,9 @@ def _id_counts(path):
 class Model:
     """What scoring needs: coding, weights, N, V and the frequent words with the base's log10."""
 
-    def __init__(self, coding: Coding, weights: dict, total: int, types: int, ends: int, top: dict[bytes, int], path: str | None):
+    def __init__(self, coding: Coding, weights: dict, total: int, types: int, ends: int, top: dict[bytes, int], path: str | None, name: str):
         self.coding, self.weights, self.total, self.types, self.ends, self.path = coding, weights, total, types, ends, path
-        self.words = list(top)
+        self.words, self.name = list(top), name
         self.logs = self.base(np.fromiter(top.values(), np.int64, len(top)))
 
     def base(self, count):
@@ -540,6 +541,7 @@ def learn(spark: SparkSession, docs: DataFrame, path: str | None = None) -> tupl
     for r in counts.where("word is not null").mapInArrow(_id_counts(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         tally[r["id"]] = r["n"]
     tally[END] = ends
+    name = uuid.uuid4().hex
     learning = rows.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     texts = [(r["text"] or "").encode() for r in bounded_sample(spark, learning, SAMPLE, SAMPLE_BYTES)]
     sample = Lexicon(path)([t.lower().split() for t in texts])
@@ -547,19 +549,20 @@ def learn(spark: SparkSession, docs: DataFrame, path: str | None = None) -> tupl
     if texts:
         sym, target, _ = windows(sample, coding)
         train(weights, sym, target, coding, min(STEPS, -(-PASSES * len(sym) // BATCH)), RATE, 5)
-        weights = _average(spark, learning, weights, coding, path)
-    return Model(coding, weights, total, types, ends, top, path), counts
+        weights = _average(spark, learning, weights, coding, path, list(top), name)
+    return Model(coding, weights, total, types, ends, top, path, name), counts
 
 
-def _average(spark: SparkSession, learning: DataFrame, weights: dict, coding: Coding, path: str | None) -> dict:
+def _average(spark: SparkSession, learning: DataFrame, weights: dict, coding: Coding, path: str | None, words: list[bytes] = (), name: str = "") -> dict:
     """One pass of every task over its learning rows from the same start, and the mean of what they reach."""
-    start = spark.sparkContext.broadcast((weights, coding))
+    start = spark.sparkContext.broadcast((weights, coding, words))
+    name = name or uuid.uuid4().hex
     names = list(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, code = start.value
+        first, code, frequent = start.value
         own = {k: v.copy() for k, v in first.items()}
-        ids, n, adam = Lexicon(path), 0, None
+        ids, n, adam = lexicon(path, frequent, name), 0, None  # scoring goes on with it
         for b in blocks(batches, "text", BLOCK_BYTES):
             # Every id is a target once; no overlap is needed to learn from.
             sym, target, _ = windows(ids([t.lower().split() for t in raw_texts(b)]), code, 0)
@@ -593,11 +596,9 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, counts: DataFrame
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shared = spark.sparkContext.broadcast(model)  # weights, codes and TOP_WORDS words
 
-    name = uuid.uuid4().hex
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        lex, base, n = lexicon(m.path, m.words, name), TaskContext.get().partitionId() << 40, 0
+        lex, base, n = lexicon(m.path, m.words, m.name), TaskContext.get().partitionId() << 40, 0
         frequent, end = len(m.words), m.base(m.ends)
         logs = np.append(m.logs, 0.0)
         for b in blocks(batches, "text", BLOCK_BYTES):

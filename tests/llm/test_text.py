@@ -241,6 +241,19 @@ def test_lm_cases(spark, monkeypatch):
     assert {r.train_tokens for r in attention_lm.scored(spark, docs, model, words).collect()} == {0}
 
 
+def test_lm_training_keeps_the_lexicon(spark, monkeypatch):
+    """Tasks of one training share the worker's lexicon, and the weights do not depend on what it holds."""
+    texts = [cases.words(60, 200 + i) for i in range(4)]
+    ids = attention_lm.Lexicon(None)([t.encode().split() for t in texts])
+    counted = np.bincount(np.concatenate(ids), minlength=attention_lm.VOCABULARY).astype(float)
+    code, start = attention_lm.Coding(counted, attention_lm.begins_word(), ids), attention_lm.init()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).localCheckpoint()
+    plain = attention_lm._average(spark, rows, start, code, None)
+    some = list(dict.fromkeys(texts[0].encode().split()))
+    kept = attention_lm._average(spark, rows, start, code, None, some, "kept")
+    assert all((plain[k] == kept[k]).all() for k in start)
+
+
 def test_lm_is_a_distribution():
     lex = attention_lm.Lexicon(None)
     ids = lex([b"one two three two one".split(), []])

@@ -278,7 +278,9 @@ def _near(p: dict) -> np.ndarray:
 
 
 #: From so many rows on a symbol's rows are summed by themselves.
-OFTEN = 16
+OFTEN = 8
+#: Windows, and rows of neighbouring classes, that are worked on at a time: few enough to stay in a core's cache.
+PART, GROUP = 64, 2048
 
 
 def _sums(rows: np.ndarray, sym: np.ndarray, n: int) -> np.ndarray:
@@ -288,104 +290,161 @@ def _sums(rows: np.ndarray, sym: np.ndarray, n: int) -> np.ndarray:
     head = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
     count = np.diff(np.append(head, len(sym)))
     out, ones = np.zeros((n, rows.shape[1]), rows.dtype), np.ones(len(sym), rows.dtype)
-    for h, c in zip(head[count >= OFTEN].tolist(), count[count >= OFTEN].tolist(), strict=True):
-        out[sym[h]] = ones[:c] @ rows[h : h + c]
-    head, count = head[count < OFTEN], count[count < OFTEN]
-    few = rows[head]
+    big = count >= OFTEN
+    for i, h, c in zip(sym[head[big]].tolist(), head[big].tolist(), count[big].tolist(), strict=True):
+        np.matmul(ones[:c], rows[h : h + c], out=out[i])
+    # Of the others the most frequent come first, so that those with a further row are a slice.
+    few = np.flatnonzero(~big)
+    few = few[np.argsort(-count[few], kind="stable")]
+    head, count = head[few], count[few]
+    total = rows.take(head, 0)
     for k in range(1, OFTEN):
-        more = np.flatnonzero(count > k)
-        few[more] += rows[head[more] + k]
-    out[sym[head]] = few
+        more = np.searchsorted(-count, -k)
+        if more:
+            total[:more] += rows.take(head[:more] + k, 0)
+    out[sym[head]] = total
     return out
 
 
+def _grouped(begin: list[int]) -> Iterator[tuple[int, int, list[tuple[int, slice]]]]:
+    """(from, to, classes with their rows therein): rows sorted by class, in groups of whole classes of about ``GROUP`` rows."""
+    c = 0
+    while c < CLASSES:
+        first = c
+        c += 1
+        while c < CLASSES and begin[c + 1] - begin[first] <= GROUP:
+            c += 1
+        lo, hi = begin[first], begin[c]
+        if lo < hi:
+            yield lo, hi, [(k, slice(begin[k] - lo, begin[k + 1] - lo)) for k in range(first, c) if begin[k] < begin[k + 1]]
+
+
+def _missed(z: np.ndarray, at: np.ndarray) -> float:
+    """Softmax in place, less one at the flat places ``at``; the cross-entropy there."""
+    _softmax(z)
+    flat = z.reshape(-1)
+    got = flat.take(at)
+    flat[at] = got - z.dtype.type(1)
+    return -float(np.log(got + z.dtype.type(1e-30)).sum())
+
+
+def _tiles(p: dict, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The biases of hidden layer and classes, and zeros, as ``rows`` rows: operations on whole arrays do not stop at each row."""
+    return np.tile(p["b1"], (rows, 1)), np.tile(p["cb"], (rows, 1)), np.zeros((rows, HIDDEN), p["b1"].dtype)
+
+
 def gradient(p: dict, sym: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> tuple[float, dict]:
     """Mean cross-entropy of class (-1: no target) and slot after each position of the windows, and its gradient."""
     e, (n, w) = p["e"], sym.shape
     kind = e.dtype.type
     scale = kind(1 / np.sqrt(WIDTH))
     # Everything before the attention depends on the symbol only.
-    table = np.concatenate([e, e @ p["q"] * scale, e @ p["k"], e @ p["v"]], 1)
-    wide = table.take(sym.ravel(), 0).reshape(n, w, 4 * WIDTH)
-    x, q, k, v = (wide[..., i * WIDTH : (i + 1) * WIDTH] for i in range(4))
-    a = _exp(q @ k.transpose(0, 2, 1))
-    a *= _near(p)
-    a /= a @ np.ones((w, 1), a.dtype)
-    h = a @ v
-    h += x
-    h = h.reshape(-1, WIDTH)
-    f = h @ p["w1"]
-    f += p["b1"]
-    np.maximum(f, 0, out=f)
-    g = f @ p["w2"]
-    g += h
+    eq, ek, ev = e @ p["q"] * scale, e @ p["k"], e @ p["v"]
+    near, one = _near(p), np.ones((w, 1), e.dtype)
+    s, y, rows = sym.ravel().astype(np.intp), cls.ravel(), n * w
+    ones = np.ones(rows, e.dtype)
+    b1, cb, none = _tiles(p, PART * w)
+    h, f, g, dg = (np.empty((rows, k), e.dtype) for k in (WIDTH, HIDDEN, WIDTH, WIDTH))
+    a = np.empty((n, w, w), e.dtype)
+    d = {k: np.zeros_like(v) for k, v in p.items() if k not in ("e", "q", "k", "v", "near")}
+    loss = 0.0
+    turned = {k: np.ascontiguousarray(p[k].T) for k in ("c", "w1", "w2")}
+    parts = [(slice(b, min(b + PART, n)), slice(b * w, min(b + PART, n) * w)) for b in range(0, n, PART)]
+    taken = lambda i: (t.take(s[i], 0).reshape(-1, w, WIDTH) for t in (eq, ek, ev))
+    for b, i in parts:
+        q, k, v = taken(i)
+        ab, hb, fb, gb = a[b], h[i], f[i], g[i]
+        np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)), out=ab)
+        _exp(ab)
+        ab *= near
+        ab /= ab @ one
+        np.matmul(ab, v, out=hb.reshape(-1, w, WIDTH))
+        hb += e.take(s[i], 0)
+        np.matmul(hb, p["w1"], out=fb)
+        fb += b1[: len(fb)]
+        np.maximum(fb, none[: len(fb)], out=fb)
+        np.matmul(fb, p["w2"], out=gb)
+        gb += hb
+        dc = gb @ p["c"]
+        dc += cb[: len(dc)]
+        has = np.flatnonzero(y[i] >= 0)
+        loss += _missed(dc, has * CLASSES + y[i][has])
+        if len(has) < len(dc):
+            dc[y[i] < 0] = 0
+        d["c"] += gb.T @ dc
+        d["cb"] += ones[: len(dc)] @ dc
+        np.matmul(dc, turned["c"], out=dg[i])
     # Targets sorted by class, so that each class's slots are one product.
-    order = np.argsort(cls.ravel(), kind="stable")
-    order = order[np.count_nonzero(cls < 0) :]
-    gs, y, u = g.take(order, 0), cls.ravel()[order], slot.ravel()[order]
-    m, rows = kind(max(len(y), 1)), np.arange(len(y))
-    dc = gs @ p["c"]
-    dc += p["cb"]
-    _softmax(dc)
-    loss = -np.log(dc[rows, y] + kind(1e-30)).sum()
-    dc[rows, y] -= 1
-    dc /= m
-    ones = np.ones(len(g), g.dtype)
-    d = {"c": gs.T @ dc, "cb": ones[: len(dc)] @ dc, "s": np.zeros_like(p["s"]), "sb": np.zeros_like(p["sb"])}
-    back = dc @ p["c"].T
-    begin = np.searchsorted(y, np.arange(CLASSES + 1)).tolist()
-    parts = [(c, slice(begin[c], begin[c + 1])) for c in range(CLASSES) if begin[c] < begin[c + 1]]
-    ds = np.empty((len(y), SLOTS), gs.dtype)
-    for c, i in parts:
-        np.matmul(gs[i], p["s"][c], out=ds[i])
-        ds[i] += p["sb"][c]
-    _softmax(ds)
-    loss -= np.log(ds[rows, u] + kind(1e-30)).sum()
-    ds[rows, u] -= 1
-    ds /= m
-    for c, i in parts:
-        d["s"][c], d["sb"][c] = gs[i].T @ ds[i], ones[i] @ ds[i]
-        back[i] += ds[i] @ p["s"][c].T
-    dg = np.zeros_like(g)
-    dg[order] = back
-    d["w2"] = f.T @ dg
-    df = dg @ p["w2"].T
-    df *= f > 0
-    d["w1"], d["b1"] = h.T @ df, ones @ df
-    dh = df @ p["w1"].T
-    dh += dg
-    dh = dh.reshape(n, w, WIDTH)
-    da = dh @ v.transpose(0, 2, 1)
-    da -= np.einsum("nij,nij->ni", da, a)[..., None]
-    da *= a
-    d["near"] = np.bincount(_BACK[_CAUSAL], da.sum(0)[_CAUSAL], WINDOW).astype(da.dtype)
-    by = np.empty((n, w, 4 * WIDTH), da.dtype)
-    by[..., :WIDTH] = dh
-    np.matmul(da, k, out=by[..., WIDTH : 2 * WIDTH])
-    np.matmul(da.transpose(0, 2, 1), q, out=by[..., 2 * WIDTH : 3 * WIDTH])
-    np.matmul(a.transpose(0, 2, 1), dh, out=by[..., 3 * WIDTH :])
-    dx, dq, dk, dv = np.split(_sums(by.reshape(-1, 4 * WIDTH), sym.ravel(), len(e)), 4, axis=1)
+    order = np.argsort(y, kind="stable")
+    u, kinds = slot.ravel()[order], y[order]
+    begin = np.searchsorted(kinds, np.arange(CLASSES + 1)).tolist()
+    back = np.empty_like(g)
+    back[: begin[0]] = 0
+    for lo, hi, some in _grouped(begin):
+        gs, ds = g.take(order[lo:hi], 0), np.empty((hi - lo, SLOTS), g.dtype)
+        for c, i in some:
+            np.matmul(gs[i], p["s"][c], out=ds[i])
+        ds += p["sb"].take(kinds[lo:hi], 0)
+        loss += _missed(ds, np.arange(hi - lo) * SLOTS + u[lo:hi])
+        for c, i in some:
+            np.matmul(gs[i].T, ds[i], out=d["s"][c])
+            np.matmul(ones[: i.stop - i.start], ds[i], out=d["sb"][c])
+            np.matmul(ds[i], p["s"][c].T, out=back[lo:hi][i])
+    place = np.empty_like(order)
+    place[order] = np.arange(rows)
+    by = np.empty((n, w, 4 * WIDTH), e.dtype)
+    near = np.zeros((w, w), e.dtype)
+    for b, i in parts:
+        q, k, v = taken(i)
+        ab, hb, fb, gb, to = a[b], h[i], f[i], dg[i], by[b]
+        gb += back.take(place[i], 0)
+        d["w2"] += fb.T @ gb
+        df = gb @ turned["w2"]
+        df *= fb > 0
+        d["w1"] += hb.T @ df
+        d["b1"] += ones[: len(df)] @ df
+        gb += df @ turned["w1"]
+        dh = gb.reshape(-1, w, WIDTH)
+        da = dh @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        da -= np.einsum("nij,nij->ni", da, ab)[..., None]
+        da *= ab
+        near += da.sum(0)
+        to[..., :WIDTH] = dh
+        np.matmul(da, k, out=to[..., WIDTH : 2 * WIDTH])
+        np.matmul(da.transpose(0, 2, 1), q, out=to[..., 2 * WIDTH : 3 * WIDTH])
+        np.matmul(ab.transpose(0, 2, 1), dh, out=to[..., 3 * WIDTH :])
+    d["near"] = np.bincount(_BACK[_CAUSAL], near[_CAUSAL], WINDOW).astype(e.dtype)
+    dx, dq, dk, dv = np.split(_sums(by.reshape(-1, 4 * WIDTH), s, len(e)), 4, axis=1)
     dq = dq * scale
     d["q"], d["k"], d["v"] = e.T @ dq, e.T @ dk, e.T @ dv
     d["e"] = dx + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    return float(loss / m), d
+    m = max(rows - begin[0], 1)
+    for v in d.values():
+        v /= kind(m)
+    return loss / m, d
 
 
 class Adam:
     def __init__(self, p: dict):
         self.p, self.t = p, 0
-        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.m, self.s, self.x = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(3))
 
     def step(self, d: dict, rate: float) -> None:
         self.t += 1
         c = rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
         for k, g in d.items():
-            m, s = self.m[k], self.s[k]
+            m, s, x = self.m[k], self.s[k], self.x[k]
             m *= 0.9
-            m += 0.1 * g
+            m += np.multiply(g, 0.1, out=x)
             s *= 0.99
-            s += 0.01 * g * g
-            self.p[k] -= c * m / (np.sqrt(s) + 1e-8)
+            np.multiply(g, g, out=x)
+            x *= 0.01
+            s += x
+            np.sqrt(s, out=x)
+            x += 1e-8
+            np.divide(m, x, out=x)
+            x *= c
+            self.p[k] -= x
 
 
 def windows(ids: list[np.ndarray], coding: Coding, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -420,14 +479,14 @@ def train(p: dict, sym: np.ndarray, target: np.ndarray, coding: Coding, steps: i
     return loss
 
 
-#: Windows that are scored at a time: few enough to stay in a core's cache.
+#: Windows that are scored at a time.
 CHUNK = 256
 
 
-def _chosen(z: np.ndarray, rows: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """Log softmax at one column of each row."""
+def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax at one flat place of each row."""
     np.clip(z, -MOST, MOST, out=z)
-    got = z[rows, pick]
+    got = z.reshape(-1).take(at)
     np.exp(z, out=z)
     return got - np.log(z @ np.ones(z.shape[1], np.float32))
 
@@ -436,40 +495,51 @@ def score(p: dict, coding: Coding, ids: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each text's ids."""
     scale = np.float32(1 / np.sqrt(WIDTH))
     e = p["e"]
-    eq, ek = e @ p["q"] * scale, e @ p["k"]
-    ev = np.concatenate([e @ p["v"], np.ones((len(e), 1), np.float32)], 1)  # the last column sums the attention
-    near = _near(p)
+    eq, ek, ev = e @ p["q"] * scale, e @ p["k"], e @ p["v"]
+    one = np.ones((WINDOW, 1), np.float32)
     sym, target, text = windows(ids, coding)
     out = np.zeros(len(ids))
-    for at in range(0, len(sym), CHUNK):
-        s, y = sym[at : at + CHUNK], target[at : at + CHUNK]
-        a = _exp(eq.take(s, 0) @ ek.take(s, 0).transpose(0, 2, 1))
-        a *= near
-        av = a @ ev.take(s, 0)
-        some = y >= 0
-        y, av, row = y[some], av[some], np.nonzero(some)[0]
-        h = av[:, :-1] / av[:, -1:]
-        h += e.take(s[some], 0)
-        g = h @ p["w1"]
-        g += p["b1"]
-        np.maximum(g, 0, out=g)
-        g = g @ p["w2"]
-        g += h
-        cls = coding.klass[y]
-        # Sorted by class, so that each class's slots are one product.
-        order = np.argsort(cls, kind="stable")
-        g, y, cls, row = g[order], y[order], cls[order], row[order]
-        rows = np.arange(len(y))
-        begin = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-        z = np.empty((len(y), SLOTS), np.float32)
-        for c in range(CLASSES):
-            if begin[c] < begin[c + 1]:
-                np.matmul(g[begin[c] : begin[c + 1]], p["s"][c], out=z[begin[c] : begin[c + 1]])
-                z[begin[c] : begin[c + 1]] += p["sb"][c]
-        first = g @ p["c"]
-        first += p["cb"]
-        logp = coding.inside[y] + _chosen(first, rows, cls) + _chosen(z, rows, coding.slot[y])
-        out += np.bincount(text[at : at + CHUNK][row], logp, len(ids))
+    begins = target[:, 0] >= 0
+    # Only a text's first window asks for its first positions; in the others they are seen, but not scored.
+    for skip, which in ((0, np.flatnonzero(begins)), (CONTEXT, np.flatnonzero(~begins))):
+        near, w = _near(p)[skip:], WINDOW - skip
+        b1, cb, none = _tiles(p, PART * w)
+        for at in range(0, len(which), CHUNK):
+            some = which[at : at + CHUNK]
+            s, y = sym[some].astype(np.intp), target[some, skip:].ravel()
+            cls = np.where(y >= 0, coding.klass[y], np.int16(-1))
+            g, logp = np.empty((len(y), WIDTH), np.float32), np.empty(len(y), np.float32)
+            for b in range(0, len(some), PART):
+                seen, i = s[b : b + PART], slice(b * w, (b + PART) * w)
+                asks, gb = seen[:, skip:], g[i]
+                a = _exp(eq.take(asks, 0) @ np.ascontiguousarray(ek.take(seen, 0).transpose(0, 2, 1)))
+                a *= near
+                h = a @ ev.take(seen, 0)
+                h /= a @ one
+                h += e.take(asks, 0)
+                h = h.reshape(-1, WIDTH)
+                f = h @ p["w1"]
+                f += b1[: len(f)]
+                np.maximum(f, none[: len(f)], out=f)
+                np.matmul(f, p["w2"], out=gb)
+                gb += h
+                z = gb @ p["c"]
+                z += cb[: len(z)]
+                logp[i] = _chosen(z, np.arange(len(z)) * CLASSES + np.maximum(cls[i], 0))
+            # Sorted by class, so that each class's slots are one product.
+            order = np.argsort(cls, kind="stable")
+            order = order[np.count_nonzero(cls < 0) :]
+            cls = cls[order]
+            begin = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+            y = y[order]
+            logp = logp[order] + coding.inside[y]
+            for lo, hi, parts in _grouped(begin):
+                gs, z = g.take(order[lo:hi], 0), np.empty((hi - lo, SLOTS), np.float32)
+                for c, i in parts:
+                    np.matmul(gs[i], p["s"][c], out=z[i])
+                z += p["sb"].take(cls[lo:hi], 0)
+                logp[lo:hi] += _chosen(z, np.arange(hi - lo) * SLOTS + coding.slot[y[lo:hi]])
+            out += np.bincount(text[some][order // w], logp, len(ids))
     return out / np.log(10)
 
 

@@ -340,6 +340,31 @@ def test_lm_windows_score_each_id_once():
     assert (sym[rows, cols] == target[rows, cols] - 1).all()
 
 
+def test_lm_work_in_parts(monkeypatch):
+    """Neither gradient nor scores depend on how much is worked on at a time, and windows after a text's first ask for no position twice."""
+    rng = np.random.default_rng(1)
+    ids = [rng.integers(0, 3000, n).astype(np.int32) for n in (1, 32, 33, 700, 90)]
+    counted = np.bincount(np.concatenate(ids), minlength=attention_lm.VOCABULARY).astype(float)
+    code, p = attention_lm.Coding(counted, attention_lm.begins_word(), ids), attention_lm.init()
+    sym, target, text = attention_lm.windows(ids, code)
+    cls, slot = attention_lm.coded(target, code)
+    asked, plain = [], attention_lm._exp
+    monkeypatch.setattr(attention_lm, "_exp", lambda z: (asked.append(z.size), plain(z))[1])
+    loss, d = attention_lm.gradient(p, sym, cls, slot)
+    asked.clear()
+    scores = attention_lm.score(p, code, ids)
+    later = len(text) - len(ids)
+    assert sum(asked) == attention_lm.WINDOW * (len(text) * attention_lm.WINDOW - later * attention_lm.CONTEXT)
+    for part, group, chunk in ((1, 1, 3), (7, 100, 5), (1000, 1 << 20, 1000)):
+        monkeypatch.setattr(attention_lm, "PART", part)
+        monkeypatch.setattr(attention_lm, "GROUP", group)
+        monkeypatch.setattr(attention_lm, "CHUNK", chunk)
+        other, e = attention_lm.gradient(p, sym, cls, slot)
+        assert abs(other - loss) < 1e-5 * loss and d.keys() == e.keys() == p.keys()
+        assert all(np.allclose(d[k], e[k], atol=1e-5 * np.abs(d[k]).max(), rtol=1e-3) for k in d)
+        assert np.allclose(attention_lm.score(p, code, ids), scores, rtol=1e-6)
+
+
 def test_lm_gradient():
     p, rng = attention_lm.init(), np.random.default_rng(0)
     sym, cls, slot = rng.integers(0, 50, (3, 32)), rng.integers(-1, 33, (3, 32)), rng.integers(0, 32, (3, 32))
